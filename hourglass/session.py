@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every hourglass job relies on.  Timestamps in the inputs are
 # TIMESTAMP_NTZ and all operators use NTZ arithmetic, but the session zone is
@@ -59,3 +60,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+@contextlib.contextmanager
+def sql_conf(spark: SparkSession, **settings: str):
+    """Temporarily set SQL confs (``spark.sql.`` prefix implied), restoring them after."""
+    old = {}
+    for k, v in settings.items():
+        key = k if k.startswith("spark.") else f"spark.sql.{k}"
+        old[key] = spark.conf.get(key, None)
+        spark.conf.set(key, str(v))
+    try:
+        yield spark
+    finally:
+        for key, v in old.items():
+            if v is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, v)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+
+    Used between the stages of multi-pass pipelines.  Constraint propagation
+    is switched off while the (possibly many-way-join) plan is optimised: on
+    wide plans it is super-linear and only infers redundant not-null filters.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    with sql_conf(spark, **{"constraintPropagation.enabled": "false"}):
+        return df.checkpoint(eager=True)
