@@ -3,10 +3,10 @@
 Rank-based metrics (ROC AUC, ROC curve) need counts accumulated in score
 order.  Rows are first collapsed to one row per distinct score (partial
 aggregation); the running sums over distinct scores are then computed
-bucket-wise: scores are cut into ``buckets`` ranges at approximate quantiles
-of the distinct scores, each bucket is accumulated by its own window task,
-and bucket offsets come from a window over at most ``buckets`` rows.  No
-step puts all scores into one task.
+bucket-wise: the distinct scores are range-partitioned into ``buckets``
+ranges (sampled bounds, ties kept together), each bucket is accumulated by
+its own window task, and bucket offsets come from a window over at most
+``buckets`` rows.  No step puts all scores into one task.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ def roc_auc(df: DataFrame, y: str = "y", score: str | Column = "score", digits:
     NULL when only one class is present.
     """
     g = running_sums(score_counts(df, y, score), "score", ["neg"])
-    return g.agg((F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.lit(0.5) * F.col("neg"))) /
-                   (F.sum("pos") * F.sum("neg"))).alias("_auc")) \
+    return g.agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.lit(0.5) * F.col("neg"))),
+                              (F.sum("pos") * F.sum("neg")).cast("double")).alias("_auc")) \
         .select(F.round("_auc", digits).alias("auc"))
 
 
@@ -72,8 +72,8 @@ def roc_curve(df: DataFrame, y: str = "y", score: str | Column = "score", digits
     p_tot = totals.select("P").scalar()
     n_tot = totals.select("N").scalar()
     return g.select(F.col("score").alias("threshold"),
-                    F.round(F.col("cum_neg") / n_tot, digits).alias("fpr"),
-                    F.round(F.col("cum_pos") / p_tot, digits).alias("tpr"))
+                    F.round(F.try_divide(F.col("cum_neg"), n_tot.cast("double")), digits).alias("fpr"),
+                    F.round(F.try_divide(F.col("cum_pos"), p_tot.cast("double")), digits).alias("tpr"))
 
 
 def _cells(df: DataFrame, y: str, pred: Column) -> DataFrame:
