@@ -13,8 +13,14 @@ from .pivot import pivot_column_name, pivot_indicator
 
 def classify_codes(df: DataFrame, person: str = "personid", code: str = "conditioncode.standard.id",
                    rules: Sequence[tuple[str, str]] = CCC_RULES, out: str = "ccode") -> DataFrame:
-    """person, class label per condition row (NULL when no rule matches)."""
-    return df.select(F.col(person).alias(person), classify(normalize_code(F.col(code)), rules).alias(out))
+    """person, class label per condition row (NULL when no rule matches).
+
+    The code is normalised once in its own projection (Catalyst keeps it
+    separate because the expression is not cheap and is referenced by every
+    rule), so the rules test a plain string column.
+    """
+    norm = df.select(F.col(person).alias(person), normalize_code(F.col(code)).alias("_norm"))
+    return norm.select(person, classify(F.col("_norm"), rules).alias(out))
 
 
 def matrix_columns(rules: Sequence[tuple[str, str]] = CCC_RULES, include_unmatched: bool = True) -> list[str]:

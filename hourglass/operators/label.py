@@ -81,7 +81,9 @@ def _stay_counts(hours: DataFrame, stays: DataFrame, keys: Sequence[str], t: str
         F.struct(F.lit(0).alias("_w"), e.alias("_x")),
         F.struct(F.lit(1).alias("_w"), (e + F.lit(horizon_s)).alias("_x")))).alias("_p"))
         .select(*keys, t, "_p._w", "_p._x"))
-    st = stays.where(F.col("icu_start").isNotNull()).select(*keys, _epoch(F.col("icu_start")).alias("_s"))
+    # distinct stays: the as-written GROUP BY over all columns counts a repeated (start, end) once
+    st = (stays.where(F.col("icu_start").isNotNull()).select(*keys, "icu_start", "icu_end").distinct()
+          .select(*keys, _epoch(F.col("icu_start")).alias("_s")))
     c = count_at_or_before(pts, st, keys, horizon_s, carry=[t, "_w"])
     cnt = c.groupBy(*keys, t).agg(F.max(F.when(F.col("_w") == 0, F.col("_c"))).alias("_c_t"),
                                    F.max(F.when(F.col("_w") == 1, F.col("_c"))).alias("_c_th"))

@@ -86,7 +86,8 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_hours(spark: SparkSession, sf: str) -> DataFrame:
-    return label.label_next(vitals_panel(spark, sf, "inner"), stays(spark, sf))
+    """[J14] next-hour ICU label on the complete-hours panel (single-aggregation form)."""
+    return label.label_next(vitals_wide(spark, sf, "inner"), stays(spark, sf))
 
 
 def first_hours(spark: SparkSession, sf: str) -> DataFrame:
@@ -751,13 +752,13 @@ def q_drug_route_search(spark, sf):
 @register("icu_label_pairs")
 def q_icu_label_pairs(spark, sf):
     """[J14 as written] hour x stays-ahead pairing, counted."""
-    return label.label_pairs(vitals_panel(spark, sf, "inner"), stays(spark, sf))
+    return label.label_pairs(vitals_wide(spark, sf, "inner"), stays(spark, sf))
 
 
 @register("icu_label_next")
 def q_icu_label_next(spark, sf):
     """[J14 as meant] one label per hour, never-ICU hours kept."""
-    return label.label_next(vitals_panel(spark, sf, "inner"), stays(spark, sf))
+    return label.label_next(vitals_wide(spark, sf, "inner"), stays(spark, sf))
 
 
 @register("trim_cascade")
