@@ -51,13 +51,15 @@ def count_at_or_before(points: DataFrame, stays: DataFrame, keys: Sequence[str],
 
     ``points`` holds (keys, point_col, *carry) and ``stays`` (keys, stay_col),
     both as epoch seconds; ``carry`` columns ride along with the points.
-    Exact, no pairs, skew spread over ``width``-second buckets.
+    Stays are first collapsed to (keys, second, count), so a burst of stays
+    becomes one weighted row per distinct second.  Exact, no pairs, skew
+    spread over ``width``-second buckets.
     """
     keys = list(keys)
     carry = list(carry)
     p = points.select(*keys, *carry, F.col(point_col).alias("_t"), F.lit(0).alias("_is_stay"))
-    s = stays.select(*keys, *[F.lit(None).alias(c) for c in carry], F.col(stay_col).alias("_t"),
-                     F.lit(1).alias("_is_stay"))
+    s = (stays.groupBy(*keys, F.col(stay_col).alias("_t")).agg(F.count(F.lit(1)).alias("_is_stay"))
+         .select(*keys, *[F.lit(None).alias(c) for c in carry], "_t", "_is_stay"))
     u = p.unionByName(s).withColumn("_b", F.floor(F.col("_t") / F.lit(width)))
     # stays per (keys, bucket) -> stays in all earlier buckets (one row per bucket)
     per_bucket = u.groupBy(*keys, "_b").agg(F.sum("_is_stay").alias("_nb"))
@@ -66,7 +68,7 @@ def count_at_or_before(points: DataFrame, stays: DataFrame, keys: Sequence[str],
     # within the bucket: stays at or before the point (stays sort first at equal time)
     ww = (Window.partitionBy(*keys, "_b").orderBy(F.col("_t"), F.col("_is_stay").desc())
           .rowsBetween(Window.unboundedPreceding, 0))
-    within = u.withColumn("_within", F.sum("_is_stay").over(ww)).where(F.col("_is_stay") == 0)
+    within = u.withColumn("_within", F.sum("_is_stay").over(ww)).where(F.col("_is_stay") == 0)  # points only
     res = within.join(before, on=[*keys, "_b"], how="inner")
     return res.select(*keys, *carry, F.col("_t").alias(point_col),
                       (F.col("_before") + F.col("_within")).alias(out))

@@ -43,9 +43,14 @@ def melt(df: DataFrame, id_vars: Sequence[str], value_vars: Sequence[str],
     return cast.unpivot(list(id_vars), list(value_vars), var_name, value_name)
 
 
-def quantile_bounds(df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """[E14] Exact (interpolated) ``lo``/``hi`` quantiles of each column: (column, q_low, q_high)."""
-    aggs = [F.percentile(F.col(c).cast("double"), F.array(F.lit(lo), F.lit(hi))).alias(c) for c in cols]
+def quantile_bounds(df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99,
+                    exact: bool = True) -> DataFrame:
+    """[E14] ``lo``/``hi`` quantiles of each column, one pass: (column, q_low, q_high).
+
+    Exact and interpolated by default (pandas ``quantile``); ``exact=False``
+    uses ``percentile_approx``.
+    """
+    aggs = [_quantiles(F.col(c).cast("double"), (lo, hi), exact).alias(c) for c in cols]
     one = df.agg(*aggs)
     rows = None
     for c in cols:
@@ -116,17 +121,25 @@ def histogram(df: DataFrame, col: str, bins: int, drop_negative: bool = False) -
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
-def box_stats(df: DataFrame, value_cols: Sequence[str], by: str, var_name: str = "variable") -> DataFrame:
+def _quantiles(x, probs: Sequence[float], exact: bool):
+    arr = F.array(*[F.lit(p) for p in probs])
+    return F.percentile(x, arr) if exact else F.percentile_approx(x, arr, 10000)
+
+
+def box_stats(df: DataFrame, value_cols: Sequence[str], by: str, var_name: str = "variable",
+              exact: bool = True) -> DataFrame:
     """[E16] Box-plot statistics per (variable, group) of a wide frame.
 
     quartiles (interpolated), IQR, whiskers at the most extreme values within
     1.5 IQR of the box, outlier count and n.  Two passes over the long form:
     quartiles per group, then conditional aggregates against them (the
-    per-group table has one row per (variable, group)).
+    per-group table has one row per (variable, group)).  ``exact=False``
+    switches to ``percentile_approx`` (bounded sketch per group) for
+    continuous measurements at very large scale.
     """
     long = melt(df, [by], value_cols, var_name, "_v").where(F.col("_v").isNotNull())
     q = (long.groupBy(var_name, by)
-         .agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+         .agg(_quantiles(F.col("_v"), (0.25, 0.5, 0.75), exact).alias("_q"))
          .select(var_name, by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3")))
     j = long.join(q, [var_name, by], "inner")
