@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Above this many literal codes a value set is joined as a table instead of
@@ -148,7 +148,8 @@ def open_interval_share(df: DataFrame, end: str = "serviceenddate", count_distin
     missing = (F.col(end) == "") | F.col(end).isNull()
     g = (df.groupBy(F.when(missing, 1).otherwise(0).alias(flag))
          .agg(F.count_distinct(count_distinct).cast("bigint").alias("nEncounters")))
-    total = g.agg(F.sum("nEncounters")).scalar()
+    # the window runs over the aggregated rows only (at most two)
+    total = F.sum("nEncounters").over(Window.partitionBy())
     return g.withColumn("share", F.round(F.col("nEncounters") / total, 6))
 
 

@@ -67,10 +67,10 @@ def no_skill_auc(df: DataFrame, y: str = "y") -> DataFrame:
 
 def roc_curve(df: DataFrame, y: str = "y", score: str | Column = "score", digits: int = 6) -> DataFrame:
     """[K8] ROC points per distinct score threshold: (threshold, fpr, tpr); predict 1 when score >= threshold."""
-    g = running_sums(score_counts(df, y, score), "score", ["pos", "neg"], descending=True)
-    totals = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    p_tot = totals.select("P").scalar()
-    n_tot = totals.select("N").scalar()
+    sc = score_counts(df, y, score)
+    g = running_sums(sc, "score", ["pos", "neg"], descending=True)
+    totals = sc.agg(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
+    p_tot, n_tot = totals.getField("P"), totals.getField("N")
     return g.select(F.col("score").alias("threshold"),
                     F.round(F.try_divide(F.col("cum_neg"), n_tot.cast("double")), digits).alias("fpr"),
                     F.round(F.try_divide(F.col("cum_pos"), p_tot.cast("double")), digits).alias("tpr"))

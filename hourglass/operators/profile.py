@@ -52,11 +52,9 @@ def quantile_bounds(df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: fl
     """
     aggs = [_quantiles(F.col(c).cast("double"), (lo, hi), exact).alias(c) for c in cols]
     one = df.agg(*aggs)
-    rows = None
-    for c in cols:
-        r = one.select(F.lit(c).alias("column"), F.col(c)[0].alias("q_low"), F.col(c)[1].alias("q_high"))
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)[0].alias("q_low"),
+                                        F.col(c)[1].alias("q_high")) for c in cols]))
+    return one.select(rows.alias("_r")).select("_r.*")
 
 
 def trim_bounds(df: DataFrame, cols: Sequence[str], lo: float = 0.01,
@@ -101,23 +99,26 @@ def histogram(df: DataFrame, col: str, bins: int, drop_negative: bool = False) -
     """[E15 J4] Equal-width histogram: (bin, lo, hi, count) for every bin, empty ones included.
 
     Width ``(max - min) / bins``, last bin closed (numpy / pandas ``hist``);
-    a constant column gets the unit range around its value.  min and max are
-    scalar subqueries; the bin spine has ``bins`` rows.
+    a constant column gets the unit range around its value.  min and max come
+    from one small aggregate job (two numbers to the driver) and enter the
+    binning as literals, so the input plan is evaluated once more, not once
+    per reference; the bin spine has ``bins`` rows.
     """
     src = df.where(F.col(col) >= 0) if drop_negative else df
     x = F.col(col).cast("double")
-    stats = src.agg(F.struct(F.min(x).alias("mn"), F.max(x).alias("mx")).alias("s")).scalar()
-    mn0 = stats.getField("mn")
-    mx0 = stats.getField("mx")
-    mn = F.when(mx0 > mn0, mn0).otherwise(mn0 - F.lit(0.5))
-    mx = F.when(mx0 > mn0, mx0).otherwise(mx0 + F.lit(0.5))
-    idx = F.least(F.floor((x - mn) * F.lit(float(bins)) / (mx - mn)), F.lit(bins - 1)).cast("int")
-    counts = src.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    r = src.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).first()
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    if r["mn"] is None:
+        return spine.select("bin", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
+                            F.lit(0).cast("bigint").alias("count"))
+    mn, mx = (r["mn"], r["mx"]) if r["mx"] > r["mn"] else (r["mn"] - 0.5, r["mx"] + 0.5)
+    lo, hi = F.lit(float(mn)), F.lit(float(mx))
+    idx = F.least(F.floor((x - lo) * F.lit(float(bins)) / (hi - lo)), F.lit(bins - 1)).cast("int")
+    counts = src.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
     return (spine.join(counts, "bin", "left")
             .select("bin",
-                    (mn + F.col("bin") * (mx - mn) / F.lit(float(bins))).alias("lo"),
-                    (mn + (F.col("bin") + 1) * (mx - mn) / F.lit(float(bins))).alias("hi"),
+                    (lo + F.col("bin") * (hi - lo) / F.lit(float(bins))).alias("lo"),
+                    (lo + (F.col("bin") + 1) * (hi - lo) / F.lit(float(bins))).alias("hi"),
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 

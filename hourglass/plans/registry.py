@@ -62,9 +62,10 @@ def vitals_panel(spark: SparkSession, sf: str, policy: str = "inner", cast: bool
 
 
 def vitals_wide(spark: SparkSession, sf: str, policy: str = "outer") -> DataFrame:
-    """[J13 single-aggregation form] the panel from the long table, ints."""
-    return panel.cast_measurements(panel.panel_from_long(lens.vitals_long(spark, sf), VITALS, policy=policy),
-                                   VITALS)
+    """[J13 single-aggregation form] the panel straight from the raw measurements:
+    one shuffle with map-side max per (key, vital), ints."""
+    w = panel.panel_from_long(lens.vital_measurements(spark, sf), VITALS, policy=policy)
+    return w.withColumns({v: F.col(v).cast("int") for v in VITALS})
 
 
 def stays(spark: SparkSession, sf: str) -> DataFrame:
