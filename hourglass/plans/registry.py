@@ -781,5 +781,70 @@ def q_icu_model_metrics(spark, sf):
     return icu_model_metrics(spark, sf)
 
 
+# ---------------------------------------------------------------------------
+# further vocabulary / frequency cells of the analysis (same operators)
+# ---------------------------------------------------------------------------
+@register("encounter_type_frequency")
+def q_encounter_type_frequency(spark, sf):
+    """[J19 G1] distinct encounters per encounter type display."""
+    return concepts.frequency(lens.encounter(spark, sf), "type.standard.primaryDisplay", "encounterid",
+                              "primaryDisplay", "n_encounters")
+
+
+@register("route_vocabulary")
+def q_route_vocabulary(spark, sf):
+    """[J8 E12] distinct medication routes (display, id)."""
+    return concepts.concept_search(lens.medication(spark, sf), "route", display_as="route")
+
+
+@register("medication_status_vocabulary")
+def q_medication_status_vocabulary(spark, sf):
+    """[E12 G2] distinct medication order statuses."""
+    return lens.medication(spark, sf).select("status").distinct()
+
+
+@register("procedure_code_search")
+def q_procedure_code_search(spark, sf):
+    """[J8 C3] ECMO procedures by code prefix alternation (ICD-10-PCS and CPT-4 prefixes)."""
+    return concepts.concept_search(lens.procedure(spark, sf), "procedurecode", include=K.ECMO_PROCEDURE_PATTERN,
+                                   case_insensitive=False, on="id", display_as="procedure", id_as="procedure_id")
+
+
+@register("glomerular_lab_search")
+def q_glomerular_lab_search(spark, sf):
+    """[J8 C3] case-sensitive display search ('lomerular')."""
+    return concepts.concept_search(lens.lab(spark, sf), "labcode", include="lomerular", case_insensitive=False)
+
+
+@register("valueset_membership_small")
+def q_valueset_membership_small(spark, sf):
+    """[C2] labs in the 18-code value set: distinct (lab, id, interpretation, labvalue)."""
+    l = concepts.concept_filter(lens.lab(spark, sf), "labcode", ids=K.COVID_LAB_CODES_1)
+    return l.select(F.col("labcode.standard.primaryDisplay").alias("lab"), F.col("labcode.standard.id").alias("id"),
+                    F.col("interpretation.standard.primaryDisplay").alias("interpretation"),
+                    F.col("typedvalue.textValue.value").alias("labvalue")).distinct()
+
+
+@register("all_class_cohort")
+def q_all_class_cohort(spark, sf):
+    """[J3 variant] encounter x demographics for every encounter class."""
+    return cohort.encounter_person(lens.encounter(spark, sf), lens.demographics(spark, sf), None,
+                                   with_locations=False)
+
+
+@register("location_frequency")
+def q_location_frequency(spark, sf):
+    """[E2] cohort rows per folded location string."""
+    return (cohort_frame(spark, sf).groupBy("encounterLocations")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+
+
+@register("sickle_cell_person_count")
+def q_sickle_cell_person_count(spark, sf):
+    """[E3] distinct persons with a sickle-cell code prefix."""
+    return concepts.count_by_code_pattern(lens.condition(spark, sf), "conditioncode", K.SICKLE_CELL_PATTERN,
+                                          ["personid"], ["n_persons"])
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
