@@ -54,12 +54,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset (local tests) a fresh private folder under the
     system temp dir is created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    already = sc.getCheckpointDir()
+    if already:
+        return already
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="hourglass-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # noqa: BLE001 - static in some deployments; the context setting below suffices
+            pass
+    sc.setCheckpointDir(current)
+    return sc.getCheckpointDir() or current
 
 
 @contextlib.contextmanager
