@@ -20,7 +20,8 @@ from ..operators.conditions import condition_matrix, condition_prevalence
 from ..operators.pivot import pivot_indicator, pivot_sum
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import lens
-from ..sources.tables import read
+from ..sources.sinks import write_feature_table
+from ..sources.tables import publish, read, read_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -117,8 +118,8 @@ def q_feature_table_roundtrip(spark, sf):
     checkpoint folder and read it back."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/feature_tables/chronic_conditions-{uuid.uuid4().hex}"
-    matrix(spark, sf).withColumnRenamed("personid", "PERSONID").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    write_feature_table(matrix(spark, sf).withColumnRenamed("personid", "PERSONID"), path)
+    return read_path(spark, path)
 
 
 # ---------------------------------------------------------------------------
@@ -699,8 +700,10 @@ def q_encounters_after_first_qualifying(spark, sf):
 
 @register("qualified_encounters_by_type")
 def q_qualified_encounters_by_type(spark, sf):
-    """[J9 E4] qualified encounters by type: distinct tenants, patients, encounters."""
-    q = lens.qualified_encounter(spark, sf)
+    """[J9 E4 A2] qualified encounters by type: distinct tenants, patients, encounters; the
+    encounter table is read by its database-qualified name (``global_temp.qualified_encounter``)."""
+    db, name = publish(lens.qualified_encounter(spark, sf), "qualified_encounter").split(".")
+    q = table(spark, name, db)
     return cohort.distinct_counts_by(q, "encountertype",
                                      where=(F.col("dx_qual_ind") == 1) | (F.col("lab_qual_ind") == 1))
 

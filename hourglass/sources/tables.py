@@ -18,11 +18,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_path(spark: SparkSession, path: str) -> DataFrame:
+    """[A3] Parquet scan of an arbitrary folder (feature tables written by a sink)."""
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, name: str, database: str | None = None) -> DataFrame:
     """[A1/A2] Catalog scan; ``database`` gives the qualified ``db.table`` form."""
     return spark.table(f"{database}.{name}" if database else name)
 
 
+def publish(df: DataFrame, name: str) -> str:
+    """[A2/A4] Expose ``df`` in the session-independent ``global_temp`` database; returns the
+    qualified name (``global_temp.<name>``) to scan it with ``table``."""
+    df.createOrReplaceGlobalTempView(name)
+    db = df.sparkSession.conf.get("spark.sql.globalTempDatabase", "global_temp")
+    return f"{db}.{name}"
+
+
 def register(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
     """[A4] Expose the driver tables as temp views (for SQL users)."""
     for n in names:
