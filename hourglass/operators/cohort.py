@@ -23,7 +23,7 @@ def encounter_person(encounter: DataFrame, demographics: DataFrame,
                      classification: str | None = "Inpatient",
                      class_path: str = "classification.standard.primaryDisplay",
                      with_locations: bool = True) -> DataFrame:
-    """[J3 step 1: D1 C1 B1 B2] Encounter x demographics, flattened.
+    """[J3 step 1: D1 C1 B1 B2 B7] Encounter x demographics, flattened.
 
     Inner join on personid (keys qualified on both sides), equality filter on
     the encounter class pushed below the join, nested displays projected by
@@ -86,7 +86,7 @@ def keep_latest(df: DataFrame, key: str | Sequence[str], ts: str) -> DataFrame:
 
 def with_age(df: DataFrame, birth: str = "birthdate", as_of: str | Column | _dt.date = DEFAULT_AS_OF,
              divisor: float = 365.25, out: str = "age") -> DataFrame:
-    """[§2.9 age_years] ``birthday = to_date(birth)``, ``age = floor(datediff(as_of, birthday)/divisor)``."""
+    """[§2.9 age_years, B3] ``birthday = to_date(birth)``, ``age = floor(datediff(as_of, birthday)/divisor)``."""
     return (df.withColumn("birthday", F.to_date(to_ts_lenient(birth)))
             .withColumn(out, age_years("birthday", as_of, divisor)))
 
@@ -110,7 +110,7 @@ def pediatric_icu_cohort(encounter: DataFrame, demographics: DataFrame,
                          classification: str | None = "Inpatient", max_age: int = 18,
                          divisor: float = 365.25, latest: str = "attach",
                          min_stay_hours: float | None = None) -> DataFrame:
-    """[J3] Inpatient encounters of persons under ``max_age`` at hospitals with an ICU.
+    """[J3 C6] Inpatient encounters of persons under ``max_age`` at hospitals with an ICU.
 
     encounter x demographics -> latest admission (``attach`` as written /
     ``keep`` as meant / ``none``) -> age at ``as_of`` -> ``age < max_age``
@@ -146,7 +146,7 @@ def single_valued(df: DataFrame, key: str, attr: str, where: Column | None = Non
 def patient_features(demo: DataFrame, demographics: DataFrame, matrix: DataFrame,
                      as_of: str | _dt.date = DEFAULT_AS_OF, max_age: int = 18,
                      join: str = "inner", drop_unmatched: bool = True) -> DataFrame:
-    """[J17] Person-level features: single-birthdate persons under ``max_age`` at
+    """[J17 B5 B6 D2 D3] Person-level features: single-birthdate persons under ``max_age`` at
     ``as_of``, their age, joined to the condition matrix.
 
     One reference date for both the filter and the age (SURVEY §2.13 #25).
@@ -172,7 +172,7 @@ def patient_features(demo: DataFrame, demographics: DataFrame, matrix: DataFrame
 def after_first(df: DataFrame, key: str, ts: str, qualifies: Column, by: str,
                 counts: Sequence[str] = ("tenant", "personid", "encounterid"),
                 names: Sequence[str] = ("tenants", "patients", "encounters")) -> DataFrame:
-    """[J9 D9] Rows dated after the key's first qualifying date, distinct counts by ``by``.
+    """[J9 D9 C12 E5] Rows dated after the key's first qualifying date, distinct counts by ``by``.
 
     First date = ``min(ts)`` over qualifying rows per key (partial
     aggregation); the comma join becomes an equi-join on the key with the

@@ -31,7 +31,7 @@ def matrix_columns(rules: Sequence[tuple[str, str]] = CCC_RULES, include_unmatch
 
 def condition_matrix(df: DataFrame, person: str = "personid", code: str = "conditioncode.standard.id",
                      rules: Sequence[tuple[str, str]] = CCC_RULES, include_unmatched: bool = True) -> DataFrame:
-    """[J1] person x class 0/1 matrix.
+    """[J1 E8 B9] person x class 0/1 matrix.
 
     Code -> strip non-alphanumerics -> ordered rules (first match wins) ->
     indicator per class.  Codes matching no rule land in a column named
@@ -46,7 +46,7 @@ def condition_matrix(df: DataFrame, person: str = "personid", code: str = "condi
 
 
 def condition_prevalence(matrix: DataFrame, person: str = "personid", scale: float = 1_000_000.0) -> DataFrame:
-    """[J2] Persons per body system: (body_system, count, count_red).
+    """[J2 E10 B12 B4] Persons per body system: (body_system, count, count_red).
 
     Column sums of the matrix (the key column excluded up front), turned into
     rows; ``CCC_`` is stripped from names and ``count_red = count / scale``.

@@ -96,7 +96,7 @@ def _stay_counts(hours: DataFrame, stays: DataFrame, keys: Sequence[str], t: str
 
 def label_next(hours: DataFrame, stays: DataFrame, keys: Sequence[str] = KEYS, t: str = "hour_mark",
                horizon_s: int = 3600, out: str = "outcome_tx_ICU", with_counts: bool = False) -> DataFrame:
-    """[J14 as meant] One row per input hour; ``out = 1`` when a stay starts in (t, t + horizon].
+    """[J14 as meant, C11 D7] One row per input hour; ``out = 1`` when a stay starts in (t, t + horizon].
 
     Hours of encounters without any stay, and hours after the last stay,
     are kept with label 0 (the analysis' own note on its pairing defect).
@@ -111,7 +111,7 @@ def label_next(hours: DataFrame, stays: DataFrame, keys: Sequence[str] = KEYS, t
 
 def label_pairs(hours: DataFrame, stays: DataFrame, keys: Sequence[str] = KEYS, t: str = "hour_mark",
                 horizon_s: int = 3600, out: str = "outcome_tx_ICU", count_as: str = "n_pairs") -> DataFrame:
-    """[J14 as written] The hour x stay pairing, de-duplicated over all columns, in counted form.
+    """[J14 as written, C11 D7 E13] The hour x stay pairing, de-duplicated over all columns, in counted form.
 
     As written, each distinct hour row yields one row per distinct stay that
     starts after it (hours with no stay ahead vanish, the outer join acts as

@@ -26,7 +26,7 @@ def key_spine(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, distinct:
 
 def panel_join(frames: Mapping[str, DataFrame] | Sequence[DataFrame], keys: Sequence[str] = KEYS,
                policy: str = "inner", spine_distinct: bool = True) -> DataFrame:
-    """[D4 D5 D6] Chain-join per-measurement tables on the panel key.
+    """[D4 D5 D6 D2 J13] Chain-join per-measurement tables on the panel key.
 
     ``inner`` – hours with every measurement; ``outer`` – full outer USING
     (keys coalesced); ``spine`` – left joins from the union of all keys

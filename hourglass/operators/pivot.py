@@ -41,11 +41,11 @@ def pivot_fixed(df: DataFrame, keys: Sequence[str], pivot_col: str | Column, val
 
 
 def pivot_indicator(df: DataFrame, keys: Sequence[str], pivot_col: str | Column, values: Sequence) -> DataFrame:
-    """0/1 matrix: ``pivot(...).max(lit(1)).fillna(0)``."""
+    """[E8 B9] 0/1 matrix: ``pivot(...).max(lit(1)).fillna(0)``."""
     return pivot_fixed(df, keys, pivot_col, values, agg="max", value_col=None, fill=0)
 
 
 def pivot_sum(df: DataFrame, keys: Sequence[str], pivot_col: str | Column, values: Sequence,
               value_col: str | Column) -> DataFrame:
-    """``pivot(...).sum(value)`` – NULL where a key has no (non-null) value of that type."""
+    """[E8 J6] ``pivot(...).sum(value)`` – NULL where a key has no (non-null) value of that type."""
     return pivot_fixed(df, keys, pivot_col, values, agg="sum", value_col=value_col)

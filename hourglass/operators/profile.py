@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None,
                  name_as: str = "column", count_as: str = "n_null") -> DataFrame:
-    """[E9] Null count of every column, one pass, as (column, n_null) rows."""
+    """[E9 C9] Null count of every column, one pass, as (column, n_null) rows."""
     cols = list(cols or df.columns)
     one = df.agg(*[F.count(F.when(F.col(f"`{c}`").isNull(), F.lit(1))).cast("bigint").alias(c) for c in cols])
     return one.unpivot([], cols, name_as, count_as)
@@ -80,7 +80,7 @@ def trim_bounds(df: DataFrame, cols: Sequence[str], lo: float = 0.01,
 
 
 def trim_cascade(df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """[J16] Sequential open-band trim ``q_lo(c) < c < q_hi(c)`` over ``cols`` in order.
+    """[J16 C10] Sequential open-band trim ``q_lo(c) < c < q_hi(c)`` over ``cols`` in order.
 
     Each column's bounds are computed on the rows that survived the previous
     columns, as the analysis did, so order matters and the passes are

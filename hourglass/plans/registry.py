@@ -53,7 +53,7 @@ def register(name: str):
 # shared building blocks
 # ---------------------------------------------------------------------------
 def vitals_panel(spark: SparkSession, sf: str, policy: str = "inner", cast: bool = True) -> DataFrame:
-    """[J13] The six vital tables joined with one policy (temperature column renamed)."""
+    """[J13 B4] The six vital tables joined with one policy (temperature column renamed)."""
     t = lens.vital_tables(spark, sf)
     t["temperature"] = t["temperature"].withColumnRenamed("value", "temperature")
     frames = [t[n] for n in ("respiratory_rate", "heart_rate", "diastolic_blood_pressure",
@@ -584,7 +584,7 @@ def q_gbt_fit(spark, sf):
 
 @register("learning_rate_sweep")
 def q_learning_rate_sweep(spark, sf):
-    """[K12] six learning rates (fixed values of the analysis), reduced tree count."""
+    """[K12 A5] six learning rates (fixed values of the analysis), reduced tree count (input cached: fitted 12x)."""
     d = models.hash_split(docs(spark, sf).withColumn("log_len", F.log1p("score")), "doc_id")
     a = models.assemble(d, ["log_len", "score"]).cache()
     return models.learning_rate_sweep(a.where("is_test = 0"), a.where("is_test = 1"), "y",
@@ -641,7 +641,7 @@ def q_negative_age_rows(spark, sf):
 
 @register("demographic_profile")
 def q_demographic_profile(spark, sf):
-    """[J5] cohort size, race pattern counts and age moments in one pass."""
+    """[J5 C5 E1 E11] cohort size, race pattern counts and age moments in one pass."""
     c = cohort_frame(spark, sf)
     race = F.col("race")
     aggs = [F.count(F.lit(1)).cast("bigint").alias("n_rows")]
@@ -673,7 +673,7 @@ def q_lab_wide_latest(spark, sf):
 
 @register("lab_positive_flag")
 def q_lab_positive_flag(spark, sf):
-    """[J7] COVID positivity per person / encounter / date over both COVID value sets."""
+    """[J7 E7] COVID positivity per person / encounter / date over both COVID value sets."""
     return concepts.positive_flag(lens.lab(spark, sf), ids=K.COVID_LAB_CODES_1 + K.COVID_LAB_CODES_2)
 
 
@@ -700,7 +700,7 @@ def q_encounters_after_first_qualifying(spark, sf):
 
 @register("qualified_encounters_by_type")
 def q_qualified_encounters_by_type(spark, sf):
-    """[J9 E4 A2] qualified encounters by type: distinct tenants, patients, encounters; the
+    """[J9 E4 A1 A2 A4] qualified encounters by type: distinct tenants, patients, encounters; the
     encounter table is read by its database-qualified name (``global_temp.qualified_encounter``)."""
     db, name = publish(lens.qualified_encounter(spark, sf), "qualified_encounter").split(".")
     q = table(spark, name, db)
@@ -773,7 +773,7 @@ def q_trim_cascade(spark, sf):
 
 @register("patient_features")
 def q_patient_features(spark, sf):
-    """[J17]"""
+    """[J17 B5 D3]"""
     return features(spark, sf)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 def write_feature_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                         max_records_per_file: int | None = None) -> None:
-    """Write a feature table as parquet (overwrite), optionally partitioned.
+    """[A6] Write a feature table as parquet (overwrite), optionally partitioned.
 
     ``path`` should be shared storage on a cluster; written files make the
     table restartable input for later jobs (and cut the producing lineage).
