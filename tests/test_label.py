@@ -79,3 +79,30 @@ def test_first_observation_deterministic_and_repartition_invariant(spark):
     a = sorted(tuple(r) for r in label.first_observation(df).collect())
     b = sorted(tuple(r) for r in label.first_observation(df.repartition(7, "v")).collect())
     assert a == b == [(1, 1, H, 1, 6), (2, 3, H, 0, 8)]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(min_value=0, max_value=10_000))
+def test_random_unaligned_times_against_brute_force(spark, seed):
+    """Time points need not be hour-aligned: the bucketed counts stay exact."""
+    rnd = random.Random(seed)
+    base = dt.datetime(2024, 1, 1)
+    hours = [(rnd.randint(1, 2), 1, base + dt.timedelta(seconds=rnd.randint(0, 20 * 3600)), 0)
+             for _ in range(rnd.randint(1, 30))]
+    stays = []
+    for _ in range(rnd.randint(0, 20)):
+        p, t = rnd.choice(hours)[0], rnd.choice(hours)[2]
+        off = rnd.choice([0, 1, 1799, 3599, 3600, 3601, 7200, -5])
+        stays.append((p, 1, t + dt.timedelta(seconds=off), base + dt.timedelta(days=2)))
+    _check(spark, hours, stays)
+
+
+def test_labels_independent_of_session_time_zone(spark):
+    from hourglass.session import sql_conf
+    m = dt.timedelta
+    hours = [(1, 1, H, 1), (1, 1, H + m(hours=1), 2)]
+    stays = [(1, 1, H + m(minutes=50), H + m(hours=3)), (1, 1, H + m(hours=1, minutes=30), H + m(hours=4))]
+    base = sorted(tuple(r) for r in label.label_next(_hours(spark, hours), _stays(spark, stays)).collect())
+    with sql_conf(spark, **{"session.timeZone": "Asia/Kolkata"}):
+        other = sorted(tuple(r) for r in label.label_next(_hours(spark, hours), _stays(spark, stays)).collect())
+    assert base == other and [r[-1] for r in base] == [1, 1]
