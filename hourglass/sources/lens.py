@@ -284,9 +284,11 @@ def encounter_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
         _fmt_shift(F.col("l_shipdate"), ENCOUNTER_SHIFT_DAYS).alias("beginDate"),
         _fmt_shift(F.col("l_shipdate"), F.lit(ENCOUNTER_SHIFT_DAYS) + F.col("l_quantity").cast("int"))
         .alias("endDate"))
-    first = (li.select(F.col("l_orderkey").alias("encounterid"), name.alias("_name"), stay.alias("_stay"))
-             .groupBy("encounterid", "_name").agg(F.min("_stay").alias("_first")))
-    return first.groupBy("encounterid").agg(F.array_sort(F.collect_list("_first")).alias("locations"))
+    names = [n for _, n in LOCATION_BANDS] + [n for _, n in LOCATION_BY_FLAG] + [LOCATION_OTHER]
+    # one conditional aggregation: the first stay per location name (the names are the lens vocabulary)
+    firsts = [F.min(F.when(name == F.lit(n), stay)) for n in names]
+    return (li.groupBy(F.col("l_orderkey").alias("encounterid"))
+            .agg(F.array_sort(F.filter(F.array(*firsts), lambda x: x.isNotNull())).alias("locations")))
 
 
 def qualified_encounter(spark: SparkSession, sf_dir: str) -> DataFrame:
