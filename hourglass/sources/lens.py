@@ -454,11 +454,10 @@ def vital_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {n: vital_table(spark, sf_dir, n) for n in VITALS}
 
 
-def vital_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw long vitals, one row per (event, measured vital): personid, encounterid,
-    hour_mark, vital, value (int).  Not unique per key; ``max`` per (key, vital)
-    gives the feature tables."""
-    e = read(spark, sf_dir, "events")
+def vital_events(events: DataFrame) -> DataFrame:
+    """events -> one row per (event, measured vital): personid, encounterid, hour_mark, ts, vital, value (int).
+
+    Works on batch and streaming frames alike (no aggregation)."""
     kinds = None
     for et, names in VITALS_BY_EVENT:
         arr = F.array(*[F.lit(n) for n in names])
@@ -468,24 +467,20 @@ def vital_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n in VITALS:
         cond = F.col("vital") == F.lit(n)
         value = F.when(cond, _vital_value(n)) if value is None else value.when(cond, _vital_value(n))
-    return (e.select(*_event_keys(), "value", F.explode(kinds).alias("vital"))
-            .select(*PANEL_KEYS, "vital", value.alias("value")))
+    return (events.select(*_event_keys(), "ts", "value", F.explode(kinds).alias("vital"))
+            .select(*PANEL_KEYS, "ts", "vital", value.alias("value")))
+
+
+def vital_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw long vitals: personid, encounterid, hour_mark, vital, value (int).  Not unique per
+    key; ``max`` per (key, vital) gives the feature tables."""
+    return vital_events(read(spark, sf_dir, "events")).drop("ts")
 
 
 def vitals_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long vitals: personid, encounterid, hour_mark, vital, value (string), one scan of events."""
-    e = read(spark, sf_dir, "events")
-    kinds = None
-    for et, names in VITALS_BY_EVENT:
-        arr = F.array(*[F.lit(n) for n in names])
-        cond = F.col("event_type") == F.lit(et)
-        kinds = F.when(cond, arr) if kinds is None else kinds.when(cond, arr)
-    value = None
-    for n in VITALS:
-        cond = F.col("vital") == F.lit(n)
-        value = F.when(cond, _vital_value(n)) if value is None else value.when(cond, _vital_value(n))
-    return (e.select(*_event_keys(), "value", F.explode(kinds).alias("vital"))
-            .groupBy(*PANEL_KEYS, "vital").agg(F.max(value).cast("string").alias("value")))
+    """Long vitals: personid, encounterid, hour_mark, vital, value (string), unique per (key, vital)."""
+    return (vital_measurements(spark, sf_dir)
+            .groupBy(*PANEL_KEYS, "vital").agg(F.max("value").cast("string").alias("value")))
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1 @@
-"""hourglass.streaming."""
+"""Structured Streaming form of the hourly panel (panel_stream)."""

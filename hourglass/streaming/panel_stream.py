@@ -21,22 +21,8 @@ from ..sources.lens import VITALS
 
 def measurements(events: DataFrame) -> DataFrame:
     """events (user_id, ts, event_type, value) -> long measurements (person, encounter, ts, vital, value)."""
-    kinds = None
-    for et, names in lens.VITALS_BY_EVENT:
-        arr = F.array(*[F.lit(n) for n in names])
-        cond = F.col("event_type") == F.lit(et)
-        kinds = F.when(cond, arr) if kinds is None else kinds.when(cond, arr)
-    value = None
-    for n in VITALS:
-        base, sign, div = lens.VITAL_FORMULA[n]
-        v = (F.lit(base) + F.lit(sign) * F.floor(F.col("value") / F.lit(float(div)))).cast("int")
-        cond = F.col("vital") == F.lit(n)
-        value = F.when(cond, v) if value is None else value.when(cond, v)
-    return (events.select(F.col("user_id").alias("personid"),
-                          lens.event_encounter(F.col("user_id"), F.col("ts")).alias("encounterid"),
-                          F.col("ts").cast("timestamp").alias("ts"), "value",
-                          F.explode(kinds).alias("vital"))
-            .select("personid", "encounterid", "ts", "vital", value.alias("value")))
+    return lens.vital_events(events).select("personid", "encounterid", F.col("ts").cast("timestamp").alias("ts"),
+                                            "vital", "value")
 
 
 def hourly_panel(long: DataFrame, kinds: Sequence[str] = VITALS, watermark: str = "2 hours") -> DataFrame:
