@@ -50,3 +50,45 @@ def test_after_first_qualifying(spark):
         .withColumn("servicedate", F.to_date("d")).withColumn("encountertype", F.lit("x"))
     out = cohort.after_first(df, "personid", "servicedate", F.col("q") == 1, "encountertype").first()
     assert (out.tenants, out.patients, out.encounters) == (1, 1, 1)
+
+
+def _cohort_inputs(spark):
+    from pyspark.sql import functions as F
+
+    from hourglass.functions.nested import concept
+
+    enc = spark.createDataFrame(
+        [(1, 10, 100, "Inpatient", "2020-01-01 00:00:00", "2020-01-03 00:00:00", ["Ward", "PICU"]),
+         (1, 11, 100, "Inpatient", "2021-01-01 00:00:00", "2021-01-01 00:30:00", ["Ward"]),
+         (2, 20, 200, "Inpatient", "2021-02-01 00:00:00", "2021-02-05 00:00:00", ["Ward"]),
+         (3, 30, 100, "Outpatient", "2021-03-01 00:00:00", None, ["PICU"])],
+        "personid long, encounterid long, tenant long, cls string, start string, stop string, locs array<string>")
+    enc = enc.select("personid", "encounterid", "tenant",
+                     concept(F.col("cls"), F.col("cls")).alias("classification"),
+                     *[concept(F.lit("x"), F.lit("x")).alias(c)
+                       for c in ("reasonforvisit", "financialclass", "admissionsource", "status")],
+                     F.col("start").alias("hospitalizationstartdate"), F.col("stop").alias("dischargedate"),
+                     F.transform("locs", lambda n: F.struct(n.alias("name"))).alias("locations"))
+    dem = spark.createDataFrame([(1, "2010-01-01 00:00:00"), (2, "2011-01-01 00:00:00"), (3, "2012-01-01 00:00:00")],
+                                "personid long, birthdate string")
+    dem = dem.select("personid", "birthdate", concept(F.lit("F"), F.lit("Female")).alias("birthsex"),
+                     F.array(concept(F.lit("White"), F.lit("White"))).alias("races"),
+                     F.array(concept(F.lit("x"), F.lit("x"))).alias("ethnicities"))
+    return enc, dem
+
+
+def test_pediatric_icu_cohort_options(spark):
+    enc, dem = _cohort_inputs(spark)
+    # as written: every inpatient encounter of an under-18 at a tenant with an ICU location (tenant 100)
+    base = cohort.pediatric_icu_cohort(enc, dem, as_of="2021-12-01")
+    assert sorted(r.encounterid for r in base.collect()) == [10, 11]
+    # as meant: only the latest admission per person; the ICU sites are judged on that same cohort,
+    # where tenant 100's only ICU location (encounter 10) is gone, so nothing remains
+    keep = cohort.pediatric_icu_cohort(enc, dem, as_of="2021-12-01", latest="keep")
+    assert sorted(r.encounterid for r in keep.collect()) == []
+    # optional length-of-stay exclusion (> 24 h): encounter 11 lasted 30 minutes
+    los = cohort.pediatric_icu_cohort(enc, dem, as_of="2021-12-01", min_stay_hours=24)
+    assert sorted(r.encounterid for r in los.collect()) == [10]
+    # all classes (no inpatient filter)
+    allc = cohort.pediatric_icu_cohort(enc, dem, as_of="2021-12-01", classification=None)
+    assert sorted(r.encounterid for r in allc.collect()) == [10, 11, 30]
