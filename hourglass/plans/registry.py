@@ -587,9 +587,12 @@ def q_learning_rate_sweep(spark, sf):
     """[K12 A5] six learning rates (fixed values of the analysis), reduced tree count (input cached: fitted 12x)."""
     d = models.hash_split(docs(spark, sf).withColumn("log_len", F.log1p("score")), "doc_id")
     a = models.assemble(d, ["log_len", "score"]).cache()
-    return models.learning_rate_sweep(a.where("is_test = 0"), a.where("is_test = 1"), "y",
-                                      [0.05, 0.1, 0.25, 0.5, 0.75, 1.0], n_estimators=10, max_depth=3,
-                                      max_features="all")
+    try:
+        return models.learning_rate_sweep(a.where("is_test = 0"), a.where("is_test = 1"), "y",
+                                          [0.05, 0.1, 0.25, 0.5, 0.75, 1.0], n_estimators=10, max_depth=3,
+                                          max_features="all")
+    finally:
+        a.unpersist()  # the sweep result is a small local table; the cached input is no longer needed
 
 
 @register("grid_search_cv")
@@ -597,8 +600,11 @@ def q_grid_search_cv(spark, sf):
     """[K13] cross-validated grid (reduced grid, same API)."""
     d = models.hash_split(docs(spark, sf).withColumn("log_len", F.log1p("score")), "doc_id")
     a = models.assemble(d, ["log_len", "score"]).where("is_test = 0").cache()
-    return models.grid_search_cv(a, "y", {"learning_rate": [0.1, 0.5], "max_depth": [2, 3],
-                                          "n_estimators": [5]}, folds=3, parallelism=4)
+    try:
+        return models.grid_search_cv(a, "y", {"learning_rate": [0.1, 0.5], "max_depth": [2, 3],
+                                              "n_estimators": [5]}, folds=3, parallelism=4)
+    finally:
+        a.unpersist()
 
 
 # ---------------------------------------------------------------------------
