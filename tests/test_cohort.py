@@ -92,3 +92,17 @@ def test_pediatric_icu_cohort_options(spark):
     # all classes (no inpatient filter)
     allc = cohort.pediatric_icu_cohort(enc, dem, as_of="2021-12-01", classification=None)
     assert sorted(r.encounterid for r in allc.collect()) == [10, 11, 30]
+
+
+def test_value_set_paths_agree(spark):
+    from hourglass.operators import concepts
+    rows = [(i, f"c{i % 300}") for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, code string")
+    small = [f"c{i}" for i in range(0, 300, 7)]                 # <= 200 codes: InSet
+    large = [f"c{i}" for i in range(0, 300)] [:250]              # > 200 codes: broadcast semi join
+    as_df = spark.createDataFrame([(c,) for c in large], "code string")
+    a = {r.id for r in concepts.in_value_set(df, "code", small).collect()}
+    b = {r.id for r in concepts.in_value_set(df, "code", large).collect()}
+    c = {r.id for r in concepts.in_value_set(df, "code", as_df).collect()}
+    assert a == {i for i, c_ in rows if c_ in set(small)}
+    assert b == c == {i for i, c_ in rows if c_ in set(large)}
