@@ -630,6 +630,15 @@ def q_pediatric_icu_cohort(spark, sf):
         "encounterLocations", "hospitalizationstartdate", "latest_admission", "birthday", "age")
 
 
+@register("pediatric_icu_cohort_latest")
+def q_pediatric_icu_cohort_latest(spark, sf):
+    """[J3 D10 as meant] the cohort restricted to each person's latest admission (ties kept)."""
+    c = cohort.pediatric_icu_cohort(lens.encounter(spark, sf, with_locations=True), lens.demographics(spark, sf),
+                                    as_of=DEFAULT_AS_OF, latest="keep")
+    return c.select("personid", "encounterid", "tenant", "payer", "admissionsource", "status", "sex", "race",
+                    "ethnicity", "encounterLocations", "hospitalizationstartdate", "birthday", "age")
+
+
 @register("age_histogram")
 def q_age_histogram(spark, sf):
     """[J4] 18 bins over non-negative cohort ages."""
