@@ -3,12 +3,14 @@ plus the driver contract of ``__spark_entry__``."""
 
 import datetime as dt
 import decimal
+import re
 from collections import Counter
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
+from hourglass.plans.oracle import oracle_sql as registry_oracle
 from hourglass.sources.tables import DRIVER_TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -38,11 +40,11 @@ def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 80
-    unchecked = set(q) - set(o)
+    unchecked = {k for k in set(q) - set(o) if k != "pipeline" and not re.match(r"op\d+_", k)}
     assert unchecked == {"logistic_l2", "gbt_fit", "learning_rate_sweep", "grid_search_cv", "icu_model_metrics"}
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(registry_oracle()))
 def test_query_matches_oracle(spark, duck, key):
     sdf = E.queries()[key](spark, SF)
     cols = sdf.columns
