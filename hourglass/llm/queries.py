@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, url_trie
+from . import langid, line_dedup, nbsvm, packing, url_trie
 from .common import table
 
 
@@ -54,9 +54,61 @@ FROM judged
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines that stand on more than a tenth of its source's pages."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs, counts=True).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, source, text, md5(coalesce(text, '')) AS page,
+         string_split(text, chr(10)) AS lines
+  FROM documents),
+l AS (
+  SELECT DISTINCT source, page, trim(u.line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+  FROM d, unnest(d.lines) AS u(line)),
+f AS (
+  SELECT source, line, count(*) AS n_pages FROM l WHERE line <> '' GROUP BY source, line),
+t AS (
+  SELECT source, count(DISTINCT page) AS host_pages FROM d GROUP BY source),
+gone AS (
+  SELECT f.source, list(f.line) AS lines FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source
+  WHERE f.n_pages >= 5 AND f.n_pages > 0.1 * t.host_pages GROUP BY f.source),
+j AS (
+  SELECT d.doc_id, d.text, d.lines,
+         list_transform(d.lines, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS trimmed,
+         coalesce(g.lines, []) AS gone
+  FROM d LEFT JOIN gone g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id,
+       array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, trimmed[i])), chr(10)) AS text,
+       coalesce(len(list_filter(trimmed, lambda x: x <> '')), 0) AS n_lines,
+       coalesce(len(list_filter(trimmed, lambda x: list_contains(gone, x))), 0) AS n_dropped
+FROM j
+"""
+
+
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    docs = table(spark, sf, "documents")
+    bucket = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = langid.fit(docs.where(bucket != 1))
+    rows = docs.select("doc_id", "text", (bucket == 1).alias("held_out"))
+    return langid.predict(rows, model, keep=("doc_id", "held_out"))
+
+
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf, "documents")
+    bucket = F.crc32(F.col("doc_id").cast("string")) % 5
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    model = nbsvm.fit(docs, labels.where(bucket != 0))
+    return nbsvm.score(docs.select("doc_id", "text", (bucket == 0).alias("held_out")), model, keep=("doc_id", "held_out"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op8_url_filter)}
+    return {f.__name__: f for f in (op1_packing, op6_line_dedup, op8_url_filter, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
