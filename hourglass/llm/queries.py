@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, nbsvm, packing, url_trie
+from . import decontam, langid, line_dedup, nbsvm, packing, url_trie
 from .common import table
 
 
@@ -54,6 +54,45 @@ FROM judged
 """
 
 
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of a document and a benchmark item it leaks."""
+    return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("key")
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+  FROM documents WHERE text IS NOT NULL),
+b AS (
+  SELECT min(item_id) AS item_id, w, len(w) AS n
+  FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+        FROM benchmark WHERE text IS NOT NULL)
+  GROUP BY w HAVING len(w) >= 5),
+dw AS (SELECT doc_id, len(w) AS dn, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+bw AS (SELECT item_id, n, unnest(w) AS word, unnest(range(n)) AS j FROM b),
+m AS (
+  SELECT doc_id, dn, item_id, n, pos - j AS shift, j,
+         least(n, 13) AS len, CASE WHEN n >= 13 THEN 11 ELSE n END AS need
+  FROM dw JOIN bw USING (word)),
+g AS (
+  SELECT doc_id, item_id, shift, any_value(len) AS len, any_value(need) AS need, count(*) AS n_matched,
+         greatest(0, -any_value(shift)) AS lo, least(any_value(n), any_value(dn) - any_value(shift)) AS hi
+  FROM m GROUP BY doc_id, item_id, shift HAVING count(*) >= any_value(need)),
+c AS (
+  SELECT g.*, least(m.j, g.hi - g.len) AS s FROM g JOIN m USING (doc_id, item_id, shift) WHERE g.hi - g.lo >= g.len),
+k AS (
+  SELECT DISTINCT c.doc_id, c.item_id, c.shift, c.lo, c.hi, c.n_matched
+  FROM (SELECT DISTINCT * FROM c) c
+  JOIN m ON m.doc_id = c.doc_id AND m.item_id = c.item_id AND m.shift = c.shift AND m.j >= c.s AND m.j < c.s + c.len
+  GROUP BY c.doc_id, c.item_id, c.shift, c.lo, c.hi, c.n_matched, c.s, c.need HAVING count(*) >= c.need)
+SELECT doc_id, item_id,
+       first(lo + shift ORDER BY n_matched DESC, lo + shift) AS doc_start,
+       first(hi - lo ORDER BY n_matched DESC, lo + shift) AS n_compared,
+       max(n_matched) AS n_matched, count(*) AS n_places
+FROM k GROUP BY doc_id, item_id
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the lines that stand on more than a tenth of its source's pages."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
@@ -107,8 +146,8 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op6_line_dedup, op8_url_filter, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op5_decontamination, op6_line_dedup, op8_url_filter, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
