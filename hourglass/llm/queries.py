@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, nbsvm, packing, url_trie
+from . import chosen_path, decontam, langid, line_dedup, nbsvm, packing, url_trie
 from .common import table
 
 
@@ -25,6 +25,33 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
                          "offset")
 
 
+def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    found = chosen_path.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "class_size", "kept")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[u.i : u.i + 4], ' ') AS g
+  FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+l AS (
+  SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE c * 10 >= 8 * (x.n + y.n - c)),
+r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM r GROUP BY a),
+n AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, class_size, doc_id = class_id AS kept
+FROM k LEFT JOIN n USING (doc_id)
+"""
+
+
 URL_RULES: list[url_trie.Rule] = [("block", "net", "/"), ("allow", "example.net", "/en/"),
                                   ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -146,8 +173,8 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op5_decontamination, op6_line_dedup, op8_url_filter, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op5_decontamination, op6_line_dedup, op7_jaccard_join, op8_url_filter, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL}
