@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontam, langid, line_dedup, nbsvm, packing, url_trie
+from . import chosen_path, decontam, langid, line_dedup, nbsvm, packing, spherical_caps, url_trie
 from .common import table
 
 
@@ -81,6 +81,28 @@ FROM judged
 """
 
 
+def op2_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and classes of all embeddings at a cosine of 0.9."""
+    return spherical_caps.near_duplicates(table(spark, sf, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM k LEFT JOIN n USING (vec_id)
+"""
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair of a document and a benchmark item it leaks."""
     return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("key")
@@ -173,8 +195,8 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op5_decontamination, op6_line_dedup, op7_jaccard_join, op8_url_filter, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op5_decontamination, op6_line_dedup, op7_jaccard_join, op8_url_filter, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL}
