@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontam, langid, line_dedup, nbsvm, packing, spherical_caps, url_trie
+from . import chosen_path, decontam, langid, line_dedup, nbsvm, packing, ppm, spherical_caps, url_trie
 from .common import table
 
 
@@ -103,6 +103,13 @@ FROM k LEFT JOIN n USING (vec_id)
 """
 
 
+def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probability of every document under the model of those that are not held out."""
+    found = ppm.score(table(spark, sf, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                        "score")
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair of a document and a benchmark item it leaks."""
     return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("key")
@@ -195,7 +202,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op5_decontamination, op6_line_dedup, op7_jaccard_join, op8_url_filter, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op4_lm_scoring, op5_decontamination, op6_line_dedup, op7_jaccard_join, op8_url_filter, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
