@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontam, langid, line_dedup, nbsvm, packing, ppm, spherical_caps, url_trie
+from . import chosen_path, decontam, langid, line_dedup, nbsvm, packing, pii, ppm, spherical_caps, url_trie
 from .common import table
 
 
@@ -103,6 +103,18 @@ FROM k LEFT JOIN n USING (vec_id)
 """
 
 
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_pii(table(spark, sf, "documents"))
+
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == F.lit(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(written(F.col("found")), 256).alias("base_sha256"),
+                        written(F.col("spans")).alias("spans"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """Log probability of every document under the model of those that are not held out."""
     found = ppm.score(table(spark, sf, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
@@ -202,7 +214,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op4_lm_scoring, op5_decontamination, op6_line_dedup, op7_jaccard_join, op8_url_filter, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_pii, op4_lm_scoring, op5_decontamination, op6_line_dedup, op7_jaccard_join, op8_url_filter, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
