@@ -233,3 +233,16 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
                                              [*keep, "score", "predicted"])
 
     return rows.mapInArrow(scored, schema)
+
+
+def keep_accepted(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, bits: int = BITS) -> DataFrame:
+    """The rows of ``df`` with a score of ``threshold`` or more; all columns stay."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, m = Words(), held.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(features(t.as_py(), words, bits)) >= threshold for t in b.column(at)], pa.bool_()))
+
+    return df.mapInArrow(accepted, df.schema)
