@@ -43,8 +43,8 @@ def array_concat(arr: ColumnOrName, sep: str = ";") -> Column:
 
     Semantics of the fold as written: a leading separator (``';a;b'``), NULL
     elements skipped, empty array -> ``''``, NULL array -> NULL.  Expressed
-    with ``array_distinct`` + ``concat_ws`` (no lambda), which yields the same
-    value in one codegen-friendly expression.
+    with ``array_distinct`` and ``concat_ws``; a filter tells an array of nulls
+    (empty text) from one with elements.
     """
     a = F.array_distinct(_col(arr))
     non_null = F.filter(a, lambda x: x.isNotNull())

@@ -11,11 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this many literal codes a value set is joined as a table instead of
-# an IN-list (the IN-list becomes a hash set either way; the join also lets
-# callers pass a value-set DataFrame maintained elsewhere).
-INLIST_MAX = 200
-
 
 def _path(concept: str, leaf: str) -> Column:
     return F.col(f"{concept}.standard.{leaf}")
@@ -32,12 +27,7 @@ def in_value_set(df: DataFrame, col: str | Column, codes: Sequence[str] | DataFr
     if isinstance(codes, DataFrame):
         vs = codes.select(F.col(code_col).alias("_vs_code")).distinct()
         return df.join(vs, c == vs["_vs_code"], "left_semi")
-    codes = list(codes)
-    if len(codes) <= INLIST_MAX:
-        return df.where(c.isin(codes))
-    spark = df.sparkSession
-    vs = spark.createDataFrame([(x,) for x in codes], "_vs_code string")
-    return df.join(F.broadcast(vs), c == vs["_vs_code"], "left_semi")
+    return df.where(c.isin(list(codes)))
 
 
 def concept_filter(df: DataFrame, concept: str, include: str | None = None, exclude: str | None = None,

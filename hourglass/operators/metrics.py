@@ -2,20 +2,24 @@
 
 Rank-based metrics (ROC AUC, ROC curve) need counts accumulated in score
 order.  Rows are first collapsed to one row per distinct score (partial
-aggregation); the running sums over distinct scores are then computed
-bucket-wise: the distinct scores are range-partitioned into ``buckets``
-ranges (sampled bounds, ties kept together), each bucket is accumulated by
-its own window task, and bucket offsets come from a window over at most
-``buckets`` rows.  No step puts all scores into one task.
+aggregation) and written to the checkpoint folder once.  The running sums are
+then computed bucket-wise: at most ``BUCKETS`` bounds are read off the scores
+and enter the plan as literals, so the bucket is a function of the score alone,
+each bucket is accumulated by its own window task, and bucket offsets come from
+a window over at most ``BUCKETS`` rows.  The bounds only spread the work: sums
+are exact wherever they lie.  No step puts all scores into one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 BUCKETS = 256
 
 
@@ -26,27 +30,43 @@ def _c(x: Column | str) -> Column:
 def running_sums(df: DataFrame, order: str, cols: Sequence[str], descending: bool = False,
                  buckets: int = BUCKETS, prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``cols`` in ``order`` (one row per distinct ``order`` value)."""
-    o = -F.col(order) if descending else F.col(order)
-    # Range partitioning (sampled bounds) makes partition ids monotone in the
-    # order value with equal values in one partition, so the partition id is a
-    # valid bucket; results are exact whatever the bounds turn out to be.
-    d = (df.withColumn("_o", o).repartitionByRange(buckets, "_o")
-         .withColumn("_bucket", F.spark_partition_id()))
+    o = (-F.col(order) if descending else F.col(order)).cast("double")
+    d = df.withColumn("_o", o)
+    d = d.withColumn("_bucket", _bucket(F.col("_o"), _bounds(d, "_o", buckets)))
     tot = d.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wo = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_off_{c}")
                                       for c in cols])
     wi = Window.partitionBy("_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     within = d.select("*", *[F.sum(c).over(wi).alias(f"_in_{c}") for c in cols])
-    return (within.join(F.broadcast(offsets), "_bucket", "inner")
+    return (within.join(F.broadcast(offsets), "_bucket", "inner")  # at most BUCKETS rows
             .select(*df.columns, *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(f"{prefix}{c}") for c in cols]))
 
 
+def _bounds(df: DataFrame, col: str, buckets: int) -> list[float]:
+    """At most ``buckets - 1`` different finite values that cut ``col`` into parts of about equal size (one small job)."""
+    share = [k / buckets for k in range(1, buckets)]
+    got = df.where(F.col(col).isNotNull() & ~F.isnan(col)).agg(F.percentile_approx(col, share, 10_000).alias("b")).first()["b"]
+    return sorted(set(got or []))
+
+
+def _bucket(x: Column, bounds: Sequence[float]) -> Column:
+    """How many bounds lie below ``x``, in two steps over about the square root of their number; a null has none below."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    parts = [list(bounds[k:k + step]) for k in range(0, len(bounds), step)]
+    coarse = F.lit([p[-1] for p in parts])
+    part = F.size(F.filter(coarse, lambda b: b < x))
+    fine = F.coalesce(F.get(F.array(*[F.lit(p) for p in parts]), part), F.array().cast("array<double>"))
+    return F.when(x.isNull(), 0).otherwise(part * step + F.size(F.filter(fine, lambda b: b < x)))
+
+
 def score_counts(df: DataFrame, y: str, score: str | Column) -> DataFrame:
-    """One row per distinct score: (score, pos, neg)."""
-    return (df.groupBy(_c(score).cast("double").alias("score"))
-            .agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
-                 F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
+    """One row per distinct score: (score, pos, neg), written to the checkpoint folder and read from there."""
+    return materialize(df.groupBy(_c(score).cast("double").alias("score"))
+                       .agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
+                            F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str | Column = "score", digits: int = 6) -> DataFrame:

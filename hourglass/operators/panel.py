@@ -31,8 +31,9 @@ def panel_join(frames: Mapping[str, DataFrame] | Sequence[DataFrame], keys: Sequ
     ``inner`` – hours with every measurement; ``outer`` – full outer USING
     (keys coalesced); ``spine`` – left joins from the union of all keys
     (``spine_distinct=False`` reproduces the UNION ALL fan-out).  Inputs are
-    expected unique per key; every join is then 1:1 and keyed the same way,
-    so Spark keeps one hash partitioning on the key through the chain.
+    expected unique per key, so every join is 1:1.  Inner and left joins keep the
+    hash partitioning on the key; full outer joins shuffle the coalesced key
+    again (``panel_from_long`` needs one shuffle for either policy).
     """
     fs = list(frames.values()) if isinstance(frames, Mapping) else list(frames)
     keys = list(keys)

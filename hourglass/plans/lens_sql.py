@@ -50,8 +50,21 @@ def event_encounter(user: str = "user_id", ts: str = "ts") -> str:
 
 
 def vital_value(name: str, v: str = "value") -> str:
-    base, sign, div = L.VITAL_FORMULA[name]
-    return f"CAST({base} + ({sign}) * floor({v} / {float(div)}) AS INTEGER)"
+    base, sign, factor, span = L.VITAL_FORMULA[name]
+    return f"CAST({base} + ({sign}) * (({hundredths(v)} * {factor}) % {span}) AS INTEGER)"
+
+
+def hundredths(v: str = "value") -> str:
+    return f"CAST(floor({v} * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
+
+
+def goes_to_icu() -> str:
+    _, _, factor, span = L.VITAL_FORMULA["heart_rate"]
+    return (f"(event_type = {lit(L.ICU_EVENT)} AND ({hundredths()} * {factor}) % {span} + {L.ICU_STEP} * (event_id % 3) "
+            f">= {L.ICU_LEAST})")
+
+
+EVENT_PERSON = f"(user_id * {L.EVENT_PERSONS} + event_id % {L.EVENT_PERSONS})"
 
 
 def measured(name: str) -> str:
@@ -176,21 +189,21 @@ FROM lineitem""",
   CASE WHEN o_orderstatus = 'O' THEN NULL WHEN o_orderstatus = 'P' THEN ''
        ELSE {fmt_shift('o_orderdate', str(L.ENCOUNTER_SHIFT_DAYS + L.DISCHARGE_DAYS))} END AS serviceenddate
 FROM orders""",
-    "locations": f"""SELECT user_id AS personid, {event_encounter()} AS encounterid,
-  {case('event_type', L.EVENT_LOCATION, L.EVENT_LOCATION_OTHER)} AS name,
-  strftime(ts, {FMT}) AS beginDate,
-  strftime(ts + to_minutes(CAST(floor(value) AS INTEGER)), {FMT}) AS endDate
+    "locations": f"""SELECT {EVENT_PERSON} AS personid, {event_encounter(EVENT_PERSON)} AS encounterid,
+  CASE WHEN {goes_to_icu()} THEN 'PICU' ELSE {case('event_type', L.EVENT_LOCATION, L.EVENT_LOCATION_OTHER)} END AS name,
+  strftime(CASE WHEN {goes_to_icu()} THEN date_trunc('hour', ts) + INTERVAL 30 MINUTE ELSE ts END, {FMT}) AS beginDate,
+  strftime(ts + to_minutes(CAST(floor(value) AS INTEGER) + CASE WHEN {goes_to_icu()} THEN 60 ELSE 0 END), {FMT}) AS endDate
 FROM events""",
     "vitals_long": f"""SELECT personid, encounterid, hour_mark, vital, CAST(max({_vital_long_value}) AS VARCHAR) AS value
-FROM (SELECT user_id AS personid, {event_encounter()} AS encounterid, date_trunc('hour', ts) AS hour_mark, value,
-             unnest({_vital_kinds}) AS vital FROM events WHERE event_type <> 'error')
+FROM (SELECT {EVENT_PERSON} AS personid, {event_encounter(EVENT_PERSON)} AS encounterid, date_trunc('hour', ts) AS hour_mark,
+             value, unnest({_vital_kinds}) AS vital FROM events WHERE event_type <> 'error')
 GROUP BY personid, encounterid, hour_mark, vital""",
     "scored_documents": """SELECT doc_id, source, quality AS y, CAST(n_chars AS DOUBLE) AS score
 FROM labels JOIN documents USING (doc_id)""",
 }
 for _n in L.VITALS:
     _col = "value" if _n == "temperature" else _n
-    CTES[f"vital_{_n}"] = (f"SELECT user_id AS personid, {event_encounter()} AS encounterid, "
+    CTES[f"vital_{_n}"] = (f"SELECT {EVENT_PERSON} AS personid, {event_encounter(EVENT_PERSON)} AS encounterid, "
                            f"date_trunc('hour', ts) AS hour_mark, CAST(max({vital_value(_n)}) AS VARCHAR) AS {_col} "
                            f"FROM events WHERE {measured(_n)} GROUP BY ALL")
 

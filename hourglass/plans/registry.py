@@ -17,7 +17,7 @@ from ..functions.dates import DEFAULT_AS_OF, age_years, hours_between
 from ..functions.nested import array_concat, pick, to_int_lenient
 from ..operators import cohort, concepts, label, metrics, models, panel, profile
 from ..operators.conditions import condition_matrix, condition_prevalence
-from ..operators.pivot import pivot_indicator, pivot_sum
+from ..operators.pivot import pivot_indicator, pivot_sum, pivot_values
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import lens
 from ..sources.sinks import write_feature_table
@@ -514,6 +514,13 @@ def q_roc_auc(spark, sf):
     return metrics.roc_auc(docs(spark, sf), "y", "score")
 
 
+@register("roc_auc_continuous")
+def q_roc_auc_continuous(spark, sf):
+    """[K7] AUC of an event's value for the error type: thousands of different scores."""
+    e = read(spark, sf, "events").select((F.col("event_type") == "error").cast("int").alias("y"), "value")
+    return metrics.roc_auc(e, "y", "value")
+
+
 @register("roc_curve")
 def q_roc_curve(spark, sf):
     """[K8]"""
@@ -544,16 +551,20 @@ def q_threshold_table(spark, sf):
 
 @register("logit_inference")
 def q_logit_inference(spark, sf):
-    """[K14] no-intercept logit on source indicators; groups with mixed labels only.
+    """[K14] no-intercept logit on source indicators, one row for every source.
 
-    Closed form: coef = ln(p / (1 - p)), std_err = sqrt(1/n_pos + 1/n_neg).
+    Closed form: coef = ln(p / (1 - p)), std_err = sqrt(1/n_pos + 1/n_neg).  A source whose labels are all equal has no
+    finite estimate: its row holds nulls.  The indicators are orthogonal, so those rows don't bear on the others' fit.
     """
     d = docs(spark, sf)
-    mixed = d.groupBy("source").agg(F.avg("y").alias("p")).where((F.col("p") > 0) & (F.col("p") < 1))
-    d = d.join(mixed.select("source"), "source", "left_semi")
-    sources = sorted(r[0] for r in mixed.select("source").collect())
-    t = models.logit_inference(models.one_hot(d, "source", sources), "y", sources, fit_intercept=False, digits=3)
-    return t.select("term", "coef", "std_err")
+    by = d.groupBy("source").agg(F.avg("y").alias("p"))
+    mixed = (F.col("p") > 0) & (F.col("p") < 1)
+    sources = sorted(r[0] for r in by.where(mixed).select("source").collect())  # the columns of the model
+    t = models.logit_inference(models.one_hot(d.where(F.col("source").isin(sources)), "source", sources), "y", sources,
+                               fit_intercept=False, digits=3)
+    none = F.lit(None).cast("double")
+    return (t.select("term", "coef", "std_err")
+            .unionByName(by.where(~mixed).select(F.col("source").alias("term"), none.alias("coef"), none.alias("std_err"))))
 
 
 @register("logistic_l2")
@@ -674,7 +685,7 @@ def q_lab_wide_sum(spark, sf):
     """[J6] person x lab type, sum of lenient int values."""
     l = pick(lens.lab(spark, sf), {"Type": "labcode.standard.primaryDisplay", "value": "typedvalue.numericValue.value"},
              keep=("personid", "issueddate"))
-    return pivot_sum(l.withColumn("value", to_int_lenient("value")), ["personid"], "Type", LAB_NAMES, "value")
+    return pivot_sum(l.withColumn("value", to_int_lenient("value")), ["personid"], "Type", pivot_values(l, "Type"), "value")
 
 
 @register("lab_wide_latest")
@@ -682,8 +693,9 @@ def q_lab_wide_latest(spark, sf):
     """[J6 as meant] same, restricted to each person's latest issued time."""
     l = pick(lens.lab(spark, sf), {"Type": "labcode.standard.primaryDisplay", "value": "typedvalue.numericValue.value"},
              keep=("personid", "issueddate"))
+    names = pivot_values(l, "Type")
     l = cohort.keep_latest(l, "personid", "issueddate")
-    return pivot_sum(l.withColumn("value", to_int_lenient("value")), ["personid"], "Type", LAB_NAMES, "value")
+    return pivot_sum(l.withColumn("value", to_int_lenient("value")), ["personid"], "Type", names, "value")
 
 
 @register("lab_positive_flag")
@@ -792,6 +804,19 @@ def q_patient_features(spark, sf):
     return features(spark, sf)
 
 
+@register("model_input")
+def q_model_input(spark, sf):
+    """[J15 J16 J18 up to the fit] the trimmed first hours with label and the 25 features."""
+    from .icu_model import model_input
+    return model_input(spark, sf)
+
+
+@register("model_class_counts")
+def q_model_class_counts(spark, sf):
+    """[J18] rows of the model input by label."""
+    return q_model_input(spark, sf).groupBy("outcome_tx_ICU").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("icu_model_metrics")
 def q_icu_model_metrics(spark, sf):
     """[J18] the whole modelling workload; metrics as (metric, value)."""

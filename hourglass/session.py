@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,9 +53,10 @@ def get_session(master: str | None = None, app: str = "hourglass",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is left alone.
-    Only when it is unset (local tests) a fresh private folder under the
-    system temp dir is created and registered.
+    On a cluster that setting points at shared storage and is left alone; a
+    cluster master without it is an error, since executors would write to their
+    own disks.  Only under a local master (tests) a private folder under the
+    system temp dir is created and registered, and removed when Python ends.
     """
     sc = spark.sparkContext
     already = sc.getCheckpointDir()
@@ -60,11 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return already
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", sc.master):
+            raise RuntimeError(f"master {sc.master!r} needs spark.checkpoint.dir, a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="hourglass-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # noqa: BLE001 - static in some deployments; the context setting below suffices
-            pass
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
 

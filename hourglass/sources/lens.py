@@ -125,15 +125,20 @@ VITALS_BY_EVENT = (
     ("purchase", ("respiratory_rate", "heart_rate", "temperature", "spo2")),
     ("signup", ("heart_rate", "temperature")),
 )
-# vital = base + sign * floor(value / divisor)
+# An event belongs to one of EVENT_PERSONS persons of its user, so that there are as many persons as customers.
+EVENT_PERSONS = 10
+# vital = base + sign * ((hundredths of the event's value * factor) mod span): prime spans make the vitals independent
 VITAL_FORMULA = {
-    "respiratory_rate": (12, 1, 20),
-    "heart_rate": (60, 1, 4),
-    "diastolic_blood_pressure": (45, 1, 8),
-    "systolic_blood_pressure": (85, 1, 5),
-    "temperature": (97, 1, 60),
-    "spo2": (100, -1, 50),
+    "respiratory_rate": (8, 1, 19, 47),
+    "heart_rate": (60, 1, 31, 97),
+    "diastolic_blood_pressure": (40, 1, 7, 61),
+    "systolic_blood_pressure": (80, 1, 23, 83),
+    "temperature": (80, 1, 11, 41),
+    "spo2": (100, -1, 13, 37),
 }
+# A complete measurement ("view") sends the person to the ICU half an hour into its hour if the part of the heart rate
+# above its base, plus a disturbance of 0, STEP or 2 * STEP by event id, reaches LEAST: a signal with noise.
+ICU_EVENT, ICU_LEAST, ICU_STEP = "view", 110, 20
 EVENT_LOCATION = (("error", "PICU"), ("signup", "Emergency Department"), ("purchase", "Radiology"))
 EVENT_LOCATION_OTHER = "Ward 4 West"
 PANEL_KEYS = ("personid", "encounterid", "hour_mark")
@@ -423,8 +428,22 @@ def procedure(spark: SparkSession, sf_dir: str) -> DataFrame:
 # hourly vitals and ICU locations
 # ---------------------------------------------------------------------------
 def _vital_value(name: str) -> Column:
-    base, sign, div = VITAL_FORMULA[name]
-    return (F.lit(base) + F.lit(sign) * F.floor(F.col("value") / F.lit(float(div)))).cast("int")
+    base, sign, factor, span = VITAL_FORMULA[name]
+    return (F.lit(base) + F.lit(sign) * ((_hundredths() * F.lit(factor)) % F.lit(span))).cast("int")
+
+
+def _hundredths() -> Column:
+    return F.floor(F.col("value") * F.lit(100.0) + F.lit(0.5)).cast("bigint")
+
+
+def _event_person() -> Column:
+    return (F.col("user_id") * F.lit(EVENT_PERSONS) + F.col("event_id") % F.lit(EVENT_PERSONS)).cast("bigint")
+
+
+def _goes_to_icu() -> Column:
+    _, _, factor, span = VITAL_FORMULA["heart_rate"]
+    return (F.col("event_type") == F.lit(ICU_EVENT)) & (
+        (_hundredths() * F.lit(factor)) % F.lit(span) + F.lit(ICU_STEP) * (F.col("event_id") % F.lit(3)) >= F.lit(ICU_LEAST))
 
 
 def _measured(name: str) -> Column:
@@ -433,8 +452,8 @@ def _measured(name: str) -> Column:
 
 
 def _event_keys() -> list[Column]:
-    return [F.col("user_id").alias("personid"),
-            event_encounter(F.col("user_id"), F.col("ts")).alias("encounterid"),
+    return [_event_person().alias("personid"),
+            event_encounter(_event_person(), F.col("ts")).alias("encounterid"),
             F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour_mark")]
 
 
@@ -486,12 +505,15 @@ def vitals_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location stays from events: personid, encounterid, name, beginDate, endDate (strings)."""
     e = read(spark, sf_dir, "events")
-    end = F.col("ts") + F.make_dt_interval(mins=F.floor(F.col("value")).cast("int"))
+    icu = _goes_to_icu()
+    begin = F.when(icu, F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(30))
+                   ).otherwise(F.col("ts"))
+    end = F.col("ts") + F.make_dt_interval(hours=F.when(icu, 1).otherwise(0), mins=F.floor(F.col("value")).cast("int"))
     return e.select(
-        F.col("user_id").alias("personid"),
-        event_encounter(F.col("user_id"), F.col("ts")).alias("encounterid"),
-        _case(F.col("event_type"), EVENT_LOCATION, EVENT_LOCATION_OTHER).alias("name"),
-        F.date_format("ts", TS_FMT).alias("beginDate"),
+        _event_person().alias("personid"),
+        event_encounter(_event_person(), F.col("ts")).alias("encounterid"),
+        F.when(icu, F.lit("PICU")).otherwise(_case(F.col("event_type"), EVENT_LOCATION, EVENT_LOCATION_OTHER)).alias("name"),
+        F.date_format(begin, TS_FMT).alias("beginDate"),
         F.date_format(end, TS_FMT).alias("endDate"))
 
 

@@ -34,12 +34,32 @@ def test_auc_single_class_is_null(spark):
     assert metrics.roc_auc(df, "y", "score").first().auc is None
 
 
-def test_running_sums_independent_of_bucket_count(spark):
-    _, df = _scored(spark, 1, 500)
+def test_running_sums_equal_a_plain_loop(spark):
+    rows, df = _scored(spark, 1, 500)
     g = metrics.score_counts(df, "y", "score")
-    a = sorted(map(tuple, metrics.running_sums(g, "score", ["pos", "neg"], buckets=3).collect()))
-    b = sorted(map(tuple, metrics.running_sums(g, "score", ["pos", "neg"], buckets=64).collect()))
-    assert a == b
+    for buckets, down in ((2, False), (3, True), (64, False)):
+        got = sorted(map(tuple, metrics.running_sums(g, "score", ["pos", "neg"], down, buckets).collect()))
+        pos = neg = 0
+        want = []
+        for v in sorted({r[2] for r in rows}, reverse=down):
+            p = sum(r[1] for r in rows if r[2] == v)
+            n = sum(1 - r[1] for r in rows if r[2] == v)
+            pos, neg = pos + p, neg + n
+            want.append((v, p, n, pos, neg))
+        assert got == sorted(want)
+
+
+def test_auc_and_curve_of_a_million_distinct_scores(spark):
+    df = spark.range(1_000_000).select((F.hash("id") % 3 == 0).cast("int").alias("y"),
+                                       (F.xxhash64("id") / F.lit(2.0 ** 63)).alias("score"))
+    p = df.toPandas()
+    place, y = p.score.rank().to_numpy(), p.y.to_numpy()
+    n1 = int(y.sum())
+    exact = (place[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
+    assert {metrics.roc_auc(df).first().auc for _ in range(3)} == {round(exact, 6)}
+    c = metrics.roc_curve(df).toPandas().sort_values("threshold", ascending=False)
+    assert len(c) == 1_000_000 and c.fpr.is_monotonic_increasing and c.tpr.is_monotonic_increasing
+    assert c.iloc[-1].fpr == c.iloc[-1].tpr == 1.0
 
 
 def test_roc_curve_endpoints(spark):
