@@ -28,18 +28,19 @@ def _c(x: Column | str) -> Column:
 
 
 def running_sums(df: DataFrame, order: str, cols: Sequence[str], descending: bool = False,
-                 buckets: int = BUCKETS, prefix: str = "cum_") -> DataFrame:
-    """Inclusive running sums of ``cols`` in ``order`` (one row per distinct ``order`` value)."""
+                 buckets: int = BUCKETS, prefix: str = "cum_", by: Sequence[str] = ()) -> DataFrame:
+    """Inclusive running sums of ``cols`` in ``order`` (one row per distinct ``order`` value), for each group of ``by``."""
     o = (-F.col(order) if descending else F.col(order)).cast("double")
     d = df.withColumn("_o", o)
     d = d.withColumn("_bucket", _bucket(F.col("_o"), _bounds(d, "_o", buckets)))
-    tot = d.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wo = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_off_{c}")
+    tot = d.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wo = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_off_{c}")
                                       for c in cols])
-    wi = Window.partitionBy("_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    wi = Window.partitionBy(*by, "_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     within = d.select("*", *[F.sum(c).over(wi).alias(f"_in_{c}") for c in cols])
-    return (within.join(F.broadcast(offsets), "_bucket", "inner")  # at most BUCKETS rows
+    # without groups the offsets are at most BUCKETS rows
+    return (within.join(offsets if by else F.broadcast(offsets), [*by, "_bucket"], "inner")
             .select(*df.columns, *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(f"{prefix}{c}") for c in cols]))
 
 

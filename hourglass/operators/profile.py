@@ -1,13 +1,11 @@
 """Exact DataFrame statistics: nulls, moments, quantiles, histograms, box plots,
 outlier trimming, complete cases, melt.   [B10 B11 E9 E11 E14 E15 E16 J4 J16]
 
-Global statistics that feed a later filter (bounds, min / max) are scalar
-subqueries (``DataFrame.scalar()``): the plan stays one lazy DataFrame and
-Spark evaluates each statistic once, as a small aggregate job whose single
-value is broadcast into the consuming filter.  Quantiles are exact
-(``percentile``, linear interpolation – pandas' default); each partial
-aggregate keeps a value -> count map, which stays small for integer-valued
-measurements.
+Bounds that feed a later filter are a few numbers that come to the driver from
+small jobs and enter the plan as literals.  Quantiles are exact (linear
+interpolation – pandas' default) and distributed: values are counted, the counts
+are summed in value order over buckets (``metrics.running_sums``), and the two
+values around each rank are picked, so no task holds the values of a column.
 """
 
 from __future__ import annotations
@@ -17,6 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .metrics import running_sums
+
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None,
                  name_as: str = "column", count_as: str = "n_null") -> DataFrame:
@@ -43,15 +44,39 @@ def melt(df: DataFrame, id_vars: Sequence[str], value_vars: Sequence[str],
     return cast.unpivot(list(id_vars), list(value_vars), var_name, value_name)
 
 
+def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Rows of each value in each group, ``n``, written to the checkpoint folder; null values are left out."""
+    return materialize(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
+
+
+def quantiles_of(counts: DataFrame, value: str, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(by, q): exact interpolated quantiles of each group, an array in the order of ``probs``."""
+    cum = running_sums(counts, value, ["n"], by=by)
+    total = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
+    place = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
+    picks = []
+    for i, at in enumerate(place):
+        picks += [F.min(F.when(F.col("cum_n") > F.floor(at), F.col(value))).alias(f"_lo{i}"),
+                  F.min(F.when(F.col("cum_n") > F.ceil(at), F.col(value))).alias(f"_hi{i}")]
+    picked = cum.join(total, list(by)).groupBy(*by, "_total").agg(*picks)
+    q = [F.when(F.floor(at) == F.ceil(at), F.col(f"_lo{i}")).otherwise(
+        (F.ceil(at) - at) * F.col(f"_lo{i}") + (at - F.floor(at)) * F.col(f"_hi{i}")) for i, at in enumerate(place)]
+    return picked.select(*by, F.array(*q).alias("q"))
+
+
 def quantile_bounds(df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99,
                     exact: bool = True) -> DataFrame:
-    """[E14] ``lo``/``hi`` quantiles of each column, one pass: (column, q_low, q_high).
+    """[E14] ``lo``/``hi`` quantiles of each column: (column, q_low, q_high), nulls for a column without values.
 
     Exact and interpolated by default (pandas ``quantile``); ``exact=False``
-    uses ``percentile_approx``.
+    uses ``percentile_approx`` in one pass.
     """
-    aggs = [_quantiles(F.col(c).cast("double"), (lo, hi), exact).alias(c) for c in cols]
-    one = df.agg(*aggs)
+    if exact:
+        long = melt(df, [], cols, "column", "_v")
+        q = quantiles_of(value_counts(long, "_v", ["column"]), "_v", ["column"], (lo, hi))
+        names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+        return names.join(q, "column", "left").select("column", F.col("q")[0].alias("q_low"), F.col("q")[1].alias("q_high"))
+    one = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [lo, hi], 10000).alias(c) for c in cols])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)[0].alias("q_low"),
                                         F.col(c)[1].alias("q_high")) for c in cols]))
     return one.select(rows.alias("_r")).select("_r.*")
@@ -62,16 +87,18 @@ def trim_bounds(df: DataFrame, cols: Sequence[str], lo: float = 0.01,
     """[J16] The cascade's bounds: for each column, in order, the exact ``lo``/``hi``
     quantiles over the rows that survive the bands of the columns before it.
 
-    One small aggregate job per column over ``df`` (materialise ``df`` first –
-    ``checkpoint()`` – when it is expensive); only two numbers per column
-    return to the driver.
+    A few small jobs per column over ``df`` (materialise ``df`` first –
+    ``checkpoint()`` – when it is expensive); only the bounds of the buckets and
+    two numbers per column return to the driver.
     """
     bounds: list[tuple[str, float | None, float | None]] = []
     cond = None
     for c in cols:
         x = F.col(c).cast("double")
         src = df if cond is None else df.where(cond)
-        q = src.agg(F.percentile(x, F.array(F.lit(lo), F.lit(hi))).alias("_q")).first()["_q"]
+        counts = value_counts(src.select(x.alias("_v"), F.lit(0).alias("_g")), "_v", ["_g"])
+        row = quantiles_of(counts, "_v", ["_g"], (lo, hi)).first()
+        q = row["q"] if row else None
         b_lo, b_hi = (q[0], q[1]) if q is not None else (None, None)
         bounds.append((c, b_lo, b_hi))
         band = (x > F.lit(b_lo)) & (x < F.lit(b_hi)) if q is not None else F.lit(False)
@@ -122,34 +149,30 @@ def histogram(df: DataFrame, col: str, bins: int, drop_negative: bool = False) -
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
-def _quantiles(x, probs: Sequence[float], exact: bool):
-    arr = F.array(*[F.lit(p) for p in probs])
-    return F.percentile(x, arr) if exact else F.percentile_approx(x, arr, 10000)
-
-
 def box_stats(df: DataFrame, value_cols: Sequence[str], by: str, var_name: str = "variable",
               exact: bool = True) -> DataFrame:
     """[E16] Box-plot statistics per (variable, group) of a wide frame.
 
     quartiles (interpolated), IQR, whiskers at the most extreme values within
-    1.5 IQR of the box, outlier count and n.  Two passes over the long form:
-    quartiles per group, then conditional aggregates against them (the
-    per-group table has one row per (variable, group)).  ``exact=False``
-    switches to ``percentile_approx`` (bounded sketch per group) for
-    continuous measurements at very large scale.
+    1.5 IQR of the box, outlier count and n.  The long form is read once, into
+    one row per (variable, group, value); quartiles and the aggregates against
+    them come from those counts.  ``exact=False`` takes the quartiles from
+    ``percentile_approx`` over the long form.
     """
-    long = melt(df, [by], value_cols, var_name, "_v").where(F.col("_v").isNotNull())
-    q = (long.groupBy(var_name, by)
-         .agg(_quantiles(F.col("_v"), (0.25, 0.5, 0.75), exact).alias("_q"))
-         .select(var_name, by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3")))
-    j = long.join(q, [var_name, by], "inner")
+    long = melt(df, [by], value_cols, var_name, "_v")
+    c = value_counts(long, "_v", [var_name, by])
+    if exact:
+        q = quantiles_of(c, "_v", [var_name, by], (0.25, 0.5, 0.75))
+    else:
+        q = long.groupBy(var_name, by).agg(F.percentile_approx("_v", [0.25, 0.5, 0.75], 10000).alias("q"))
+    q = q.select(var_name, by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    j = c.join(q, [var_name, by], "inner")
     lo_f = F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))
     return (j.groupBy(var_name, by, "q1", "median", "q3")
             .agg(F.min(F.when(F.col("_v") >= lo_f, F.col("_v"))).alias("whisker_low"),
                  F.max(F.when(F.col("_v") <= hi_f, F.col("_v"))).alias("whisker_high"),
-                 F.count(F.when((F.col("_v") < lo_f) | (F.col("_v") > hi_f), F.lit(1))).cast("bigint")
+                 F.coalesce(F.sum(F.when((F.col("_v") < lo_f) | (F.col("_v") > hi_f), F.col("n"))), F.lit(0)).cast("bigint")
                  .alias("n_outliers"),
-                 F.count(F.lit(1)).cast("bigint").alias("n"))
+                 F.sum("n").cast("bigint").alias("n"))
             .withColumn("iqr", F.col("q3") - F.col("q1")))

@@ -94,3 +94,11 @@ def test_box_stats(spark):
     q1, q3 = s.quantile(0.25), s.quantile(0.75)
     assert (r.q1, r.q3, r.median) == (q1, q3, s.quantile(0.5))
     assert r.n_outliers == 1 and r.whisker_high == 20 and r.whisker_low == 1
+
+
+def test_quantiles_of_a_million_distinct_values(spark):
+    df = spark.range(1_000_000).select((F.xxhash64("id") / F.lit(2.0 ** 63)).alias("a"), F.col("id").alias("b"))
+    got = {r["column"]: (r.q_low, r.q_high) for r in profile.quantile_bounds(df, ["a", "b"]).collect()}
+    p = df.toPandas()
+    for c in ("a", "b"):
+        assert np.allclose(got[c], p[c].quantile([0.01, 0.99]), rtol=1e-12, atol=0)
