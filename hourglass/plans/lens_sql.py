@@ -144,12 +144,12 @@ FROM customer""",
   {fmt_shift('o_orderdate', str(L.ENCOUNTER_SHIFT_DAYS))} AS servicedate,
   [{{'classification': {concept('o_orderpriority', _cls)}}}, {{'classification': {concept('o_orderstatus', _etype)}}}] AS encountertypes
 FROM orders""",
-    "encounter_locations": f"""SELECT encounterid, list(first ORDER BY first) AS locations
-FROM (SELECT l_orderkey AS encounterid, {_location_name()} AS lname,
-        min({{'seq': l_linenumber, 'name': {_location_name()},
-             'beginDate': {fmt_shift('l_shipdate', str(L.ENCOUNTER_SHIFT_DAYS))},
-             'endDate': {fmt_shift('l_shipdate', f'{L.ENCOUNTER_SHIFT_DAYS} + CAST(l_quantity AS INTEGER)')}}}) AS first
-      FROM lineitem GROUP BY 1, 2)
+    "encounter_locations": f"""SELECT encounterid, list(stay ORDER BY stay) AS locations
+FROM (SELECT l_orderkey AS encounterid,
+        {{'seq': l_linenumber, 'name': {_location_name()},
+          'beginDate': {fmt_shift('l_shipdate', str(L.ENCOUNTER_SHIFT_DAYS))},
+          'endDate': {fmt_shift('l_shipdate', f'{L.ENCOUNTER_SHIFT_DAYS} + CAST(l_quantity AS INTEGER)')}}} AS stay
+      FROM lineitem)
 GROUP BY encounterid""",
     "encounter_full": """SELECT e.*, l.locations FROM encounter e LEFT JOIN encounter_locations l USING (encounterid)""",
     "qualified_encounter": f"""SELECT o_custkey AS personid, o_custkey % {L.TENANTS} AS tenant, o_orderkey AS encounterid,

@@ -273,13 +273,10 @@ def location_name(quantity: Column, flag: Column) -> Column:
 
 
 def encounter_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """encounterid, locations: the first stay at each named location of the encounter,
-    as a sorted array of struct(seq, name, beginDate, endDate).
+    """encounterid, locations: every stay of the encounter, as a sorted array of
+    struct(seq, name, beginDate, endDate).
 
-    ``min(struct)`` per (encounter, location name) is a partial aggregate, and
-    the collected array is bounded by the location vocabulary, so even an
-    encounter holding a large share of all line items never gathers an
-    unbounded group in one task.
+    The nested array is the data model of the source; it holds one encounter's own stays.
     """
     li = read(spark, sf_dir, "lineitem")
     name = location_name(F.col("l_quantity"), F.col("l_returnflag"))
@@ -289,11 +286,8 @@ def encounter_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
         _fmt_shift(F.col("l_shipdate"), ENCOUNTER_SHIFT_DAYS).alias("beginDate"),
         _fmt_shift(F.col("l_shipdate"), F.lit(ENCOUNTER_SHIFT_DAYS) + F.col("l_quantity").cast("int"))
         .alias("endDate"))
-    names = [n for _, n in LOCATION_BANDS] + [n for _, n in LOCATION_BY_FLAG] + [LOCATION_OTHER]
-    # one conditional aggregation: the first stay per location name (the names are the lens vocabulary)
-    firsts = [F.min(F.when(name == F.lit(n), stay)) for n in names]
-    return (li.groupBy(F.col("l_orderkey").alias("encounterid"))
-            .agg(F.array_sort(F.filter(F.array(*firsts), lambda x: x.isNotNull())).alias("locations")))
+    return (li.select(F.col("l_orderkey").alias("encounterid"), stay.alias("stay")).groupBy("encounterid")
+            .agg(F.sort_array(F.collect_list("stay")).alias("locations")))
 
 
 def qualified_encounter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,11 @@ def test_gbt_beats_no_skill(spark):
     m = models.fit_gbt(df, "y", n_estimators=5, max_depth=2)
     p = models.with_probability(m, df)
     assert metrics.roc_auc(p, "y", "probability_1").first().auc > 0.9
+
+
+def test_split_of_string_keys(spark):
+    df = spark.range(4000).selectExpr("concat('person-', id) AS personid")
+    a = models.hash_split(df, "personid")
+    share = a.where("is_test = 1").count() / 4000
+    assert 0.28 < share < 0.38
+    assert a.exceptAll(models.hash_split(df.repartition(7), "personid")).count() == 0
