@@ -580,42 +580,46 @@ def q_logistic_l2(spark, sf):
     return acc.unionByName(auc)
 
 
+def model_rows(spark, sf):
+    """[K1 K2] the trimmed model input as label ``y``, ``features`` (25 columns) and ``is_test``, written once."""
+    from .icu_model import model_features, model_input
+    d = models.hash_split(model_input(spark, sf), "personid").withColumnRenamed("outcome_tx_ICU", "y")
+    return materialize(models.assemble(d, model_features()).select("personid", "y", "features", "is_test"))
+
+
 @register("gbt_fit")
-def q_gbt_fit(spark, sf):
-    """[K11] gradient-boosted trees, test accuracy and AUC."""
-    d = models.hash_split(docs(spark, sf).withColumn("log_len", F.log1p("score")), "doc_id")
-    a = models.assemble(d, ["log_len", "score"])
-    train, test = a.where("is_test = 0"), a.where("is_test = 1")
-    m = models.fit_gbt(train, "y", n_estimators=20, learning_rate=0.1, max_depth=3)
-    p = models.with_probability(m, test)
+def q_gbt_fit(spark, sf, n_estimators=20, learning_rate=0.1, max_depth=3):
+    """[K11] gradient-boosted trees on the model input, test accuracy and AUC.
+
+    The arguments are cut down for this box; ``models.fit_gbt`` defaults to the analysis' own (1000 trees of depth 6,
+    rate 0.01).
+    """
+    a = model_rows(spark, sf)
+    m = models.fit_gbt(a.where("is_test = 0"), "y", n_estimators=n_estimators, learning_rate=learning_rate,
+                       max_depth=max_depth)
+    p = models.with_probability(m, a.where("is_test = 1"))
     acc = metrics.accuracy(p, "y", "prediction").select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
     auc = metrics.roc_auc(p, "y", "probability_1").select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
     return acc.unionByName(auc)
 
 
 @register("learning_rate_sweep")
-def q_learning_rate_sweep(spark, sf):
-    """[K12 A5] six learning rates (fixed values of the analysis), reduced tree count (input cached: fitted 12x)."""
-    d = models.hash_split(docs(spark, sf).withColumn("log_len", F.log1p("score")), "doc_id")
-    a = models.assemble(d, ["log_len", "score"]).cache()
-    try:
-        return models.learning_rate_sweep(a.where("is_test = 0"), a.where("is_test = 1"), "y",
-                                          [0.05, 0.1, 0.25, 0.5, 0.75, 1.0], n_estimators=10, max_depth=3,
-                                          max_features="all")
-    finally:
-        a.unpersist()  # the sweep result is a small local table; the cached input is no longer needed
+def q_learning_rate_sweep(spark, sf, n_estimators=10, max_depth=3):
+    """[K12 A5] the six learning rates of the analysis on the model input, two features a split; cut down to 10 trees of
+    depth 3 for this box (the analysis grows 1000)."""
+    a = model_rows(spark, sf)
+    return models.learning_rate_sweep(a.where("is_test = 0"), a.where("is_test = 1"), "y",
+                                      [0.05, 0.1, 0.25, 0.5, 0.75, 1.0], n_estimators=n_estimators, max_depth=max_depth,
+                                      max_features="2")
 
 
 @register("grid_search_cv")
-def q_grid_search_cv(spark, sf):
-    """[K13] cross-validated grid (reduced grid, same API)."""
-    d = models.hash_split(docs(spark, sf).withColumn("log_len", F.log1p("score")), "doc_id")
-    a = models.assemble(d, ["log_len", "score"]).where("is_test = 0").cache()
-    try:
-        return models.grid_search_cv(a, "y", {"learning_rate": [0.1, 0.5], "max_depth": [2, 3],
-                                              "n_estimators": [5]}, folds=3, parallelism=4)
-    finally:
-        a.unpersist()
+def q_grid_search_cv(spark, sf, grid=None, folds=5):
+    """[K13] cross-validated grid on the model input, folds by key hash; cut down to 4 configurations of 5 trees for this
+    box (the analysis tries 350)."""
+    a = model_rows(spark, sf).where("is_test = 0")
+    grid = grid or {"learning_rate": [0.1, 0.5], "max_depth": [2, 3], "n_estimators": [5]}
+    return models.grid_search_cv(a, "y", grid, folds=folds, parallelism=4, key="personid")
 
 
 # ---------------------------------------------------------------------------
