@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stage
+from .common import stage
 
 ORDER = 6  # context symbols
 WIDTH = 8  # bits of a symbol; START and END are no bytes of UTF-8, as none is above 0xF7
@@ -42,6 +42,7 @@ START, END = 0xFF, 0xFE
 ALPHABET = 0xF8 - 26 + 1  # A-Z are lower-cased; the end is a symbol
 TAG = 56  # the bits above tell the number of symbols of a key
 EMPTY = np.uint64(2 ** 64 - 1)  # no key has that value
+SPREAD = np.uint64(0x9E3779B97F4A7C15)  # multiplicative hashing: 2**64 over the golden ratio
 SLICE = 1 << 20
 TOKENS = re.compile("[^\x20\x09-\x0D]+")
 
@@ -104,7 +105,7 @@ class Table:
             left, slot = left[rest], (slot[rest] + 1) & self.mask
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> self.shift).astype(np.int64)
+        return (keys * SPREAD >> self.shift).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(known, values): values of unknown keys are zero."""
@@ -250,15 +251,15 @@ def count_strings_and_words(df: DataFrame, text: str = "text") -> DataFrame:
                 for c in strings(raw):
                     codes.append(c)
                     size += len(c)
-                    if size > 1 << 22:
+                    if size > 1 << 21:
                         sum_up()
-                if len(words) > 400_000:
+                if len(words) > 200_000:
                     yield batch(1, None, list(words), list(words.values()))
                     words.clear()
-                if sum(len(c) for c, _ in parts) > 3_000_000:
+                if sum(len(c) for c, _ in parts) > 1_500_000:
                     c, n = counted([c for c, _ in parts], [n for _, n in parts])
                     parts[:] = [(c, n)]
-                    if len(c) > 2_000_000:
+                    if len(c) > 1_000_000:
                         yield batch(0, c, None, n)
                         parts.clear()
         if codes:
@@ -289,7 +290,7 @@ def least_count(edges: DataFrame, max_edges: int, step: int = 1000) -> int:
         least += step
 
 
-def fit(counts: DataFrame, hot_words: int = 400_000, max_edges: int = 2_500_000) -> Model:
+def fit(counts: DataFrame, hot_words: int = 300_000, max_edges: int = 2_000_000) -> Model:
     """The model from the sums of ``count_strings_and_words``; what comes to the driver is bounded by the two sizes."""
     words, texts = counts.where("kind = 1"), counts.where("kind = 2")
     n = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -305,8 +306,8 @@ def fit(counts: DataFrame, hot_words: int = 400_000, max_edges: int = 2_500_000)
                  hot["n"].to_numpy(), n["n"] + ends, n["v"] + int(ends > 0), ends)
 
 
-def score(df: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", hot_words: int = 400_000,
-          max_edges: int = 2_500_000) -> DataFrame:
+def score(df: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", hot_words: int = 300_000,
+          max_edges: int = 2_000_000) -> DataFrame:
     """(doc_id, training, n_tokens, n_known, train_tokens, base_score, score) of every row of ``df``.
 
     ``training`` tells the rows to learn from.  ``score`` is the model's log10 probability of the whole text, ``base_score``
