@@ -9,7 +9,8 @@ diagonal (document, item, offset) are one candidate, and each candidate is verif
 Items of ``MIN_WORDS`` to 12 words are sought whole and unchanged, through one mask of their own length; shorter ones are
 too common to be a leak and are not sought.
 
-A document's positions are first tested against a bitmap of the benchmark's hashes.  Its size is fixed (2**22 bits), so
+A document's positions are first tested against a bitmap of the benchmark's hashes, by the pair of words that begins every
+mask and then by the masks.  Its size is fixed (2**22 bits), so
 the literal in the plan is too, however large the benchmark; a full bitmap would only let more rows into the join.
 Only positions that pass leave the map side, as (key, position, hash); documents meet their candidates by content key.
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import content_key, stage
 
 WINDOW, SUBSTITUTIONS, MIN_WORDS = 13, 2, 5
+PAIR = (0, 1)
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 7, 8))
 BITS = 22
 
@@ -56,6 +58,10 @@ def _seeds(words: Column, k: int, mask: tuple[int, ...]) -> Column:
                        lambda i: F.struct(i.alias("pos"), _seed(words, i, k, mask).alias("seed")))
 
 
+def _pairs(words: Column) -> Column:
+    return F.transform(_starts(words, PAIR), lambda i: _seed(words, i, -1, PAIR))
+
+
 def _bitmap(seeds: DataFrame) -> Column:
     """2**BITS bits as a constant array of longs (at most 2**(BITS - 6) rows come to the driver)."""
     slot = F.col("seed").bitwiseAND(F.lit((1 << BITS) - 1))
@@ -90,7 +96,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         seeds = seeds.unionByName(p)
     seeds = stage(seeds.select("item_id", F.xxhash64("item").alias("item_key"), F.col("s.pos").alias("item_pos"),
                                F.col("s.seed").alias("seed")), "seeds")
-    bits = _bitmap(seeds)
+    pairs = items.select(F.explode(_pairs(F.col("item"))).alias("seed"))
+    bits = _bitmap(seeds.select("seed").unionByName(pairs))
 
     def known(h: Column) -> Column:
         slot = h.bitwiseAND(F.lit((1 << BITS) - 1))
@@ -102,14 +109,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     tokens = rows.select("key", word_hashes(F.col("text")).alias("words"))
     w = F.col("words")
 
+    # every mask begins with two neighbours: positions whose pair the benchmark doesn't have go before the masks are tried
+    tokens = tokens.withColumn("at", F.filter(_starts(w, PAIR), lambda i: known(_seed(w, i, -1, PAIR))))
+
     def passing(k: int, m: tuple[int, ...]) -> Column:
-        at = F.filter(_starts(w, m), lambda i: known(_seed(w, i, k, m)))
+        at = F.filter("at", lambda i: (i + F.lit(m[-1]) < F.size(w)) & known(_seed(w, i, k, m)))
         return F.transform(at, lambda i: F.struct(i.alias("pos"), _seed(w, i, k, m).alias("seed")))
 
+    # no filter on ``at``: the optimiser would push it down and compute the words anew for every position
     hits = (tokens.select("key", F.explode(F.concat(*[passing(k, m) for k, m in used.items()])).alias("h"))
             .select("key", F.col("h.pos").alias("pos"), F.col("h.seed").alias("seed"))
             .join(seeds, "seed")
             .select("key", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
+    hits = stage(hits, "hits")  # few or many: Spark then knows their size when it plans the join with the texts
     best = (hits.join(items.select("item", "item_id", "n", F.xxhash64("item").alias("item_key")), ["item_id", "item_key"])
             .join(rows, "key"))
     # the words of the document that the item covers, cut out before anything else is done with the row
