@@ -47,9 +47,10 @@ def runs_for(recall: float) -> int:
 
 def children(tokens: np.ndarray, node: int, threshold: float) -> np.ndarray:
     """Path hashes of the children of ``node`` that the set goes to."""
-    h = mix(tokens ^ mix(np.array([node], np.uint64)))
+    here = np.array([node], np.uint64)
+    h = tokens * (mix(here) | np.uint64(1))  # tokens are hashes already: a random odd factor draws anew
     share = 1 / (threshold * len(tokens))
-    return h if share >= 1 else h[h < np.uint64(int(share * ALL))]
+    return mix((h if share >= 1 else h[h < np.uint64(int(share * ALL))]) ^ here)
 
 
 def paths(tokens: np.ndarray, runs: int, threshold: float) -> list[tuple]:
@@ -130,7 +131,9 @@ def nodes(reps: DataFrame, limit: int) -> DataFrame:
         small = count if depth == DEPTH else count.where(F.col("n") <= limit)
         out.append(here.join(small, "node"))
         if depth < DEPTH:
-            alive = alive.join(count.where(F.col("n") > limit).select(F.col("node").alias(at)), at, "left_semi")
+            # written, as it is read three times from here on
+            alive = stage(alive.join(count.where(F.col("n") > limit).select(F.col("node").alias(at)), at, "left_semi"),
+                          f"split{depth}")
     both = out[0]
     for o in out[1:]:
         both = both.unionByName(o)
