@@ -8,9 +8,12 @@ no context codes is uniform over the rest of the alphabet: the bytes of lower-ca
 reach back over the start of the text.
 
 Counting is one map that sums the symbol strings of its documents and a grouped sum; shorter contexts are grouped sums of
-the longest.  The trie that goes to the tasks has at most ``max_edges`` edges: beyond that, the edges with the smallest
-counts (every edge with less than a least count, the same for all contexts) are left out, and contexts without edges
-with them, so what they would have coded is coded by shorter contexts.  The counts themselves cover all training text.
+the longest.  Every edge is used in scoring, however many there are:
+
+1. Code lengths of the at most ``max_edges`` most frequent whole strings go to the tasks, which look them up.
+2. All other strings are dealt, with the edges, into buckets by the last ``NEAR`` symbols of their context.  A bucket has
+   all edges of contexts that long or longer which its strings can ask for; those of shorter contexts (no more than the
+   alphabet allows) go to all tasks.  Edges of a bucket come first, then its strings are streamed through them.
 
 Word score: tokens are runs without white space (space and U+0009 to U+000D), A-Z lower-cased, and one end for each text.
 The ``hot_words`` most frequent words go to the tasks with the trie; all others are counted by a join.
@@ -25,12 +28,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,8 @@ TAG = 56  # the bits above tell the number of symbols of a key
 EMPTY = np.uint64(2 ** 64 - 1)  # no key has that value
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # multiplicative hashing: 2**64 over the golden ratio
 SLICE = 1 << 20
+NEAR = 3  # context symbols that tell the bucket
+BUCKET, CHUNK = 250_000, 512  # edges of a bucket on average, strings or edges of a row
 TOKENS = re.compile("[^\x20\x09-\x0D]+")
 
 
@@ -132,6 +137,37 @@ def of_order(code: np.ndarray, j: int) -> np.ndarray:
     return (code & np.uint64((1 << WIDTH * (j + 1)) - 1)) | np.uint64((j + 1) << TAG)
 
 
+def bucket_of(code: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of the last ``NEAR`` symbols before the last one."""
+    near = (code >> np.uint64(WIDTH)) & np.uint64((1 << WIDTH * NEAR) - 1)
+    return ((near * SPREAD >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of an array, all first ones, all second ones and so on, which compresses well if it is sorted."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(b: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+
+
+def packed(code: np.ndarray, other: np.ndarray, buckets: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """(bucket, codes, others) by rows of at most ``CHUNK`` codes of one bucket."""
+    bucket = bucket_of(code, buckets)
+    order = np.lexsort((code, bucket))
+    bucket, code, other = bucket[order], code[order], other[order]
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(code)]
+    out: tuple[list[int], list[bytes], list[bytes]] = ([], [], [])
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        for k in range(a, z, CHUNK):
+            out[0].append(int(bucket[a]))
+            out[1].append(planes(code[k:min(k + CHUNK, z)]))
+            out[2].append(planes(other[k:min(k + CHUNK, z)]))
+    return out
+
+
 @dataclass
 class Model:
     """Edges (keys as of_order, counts) of all orders, and the words' figures."""
@@ -290,42 +326,163 @@ def least_count(edges: DataFrame, max_edges: int, step: int = 1000) -> int:
         least += step
 
 
-def fit(counts: DataFrame, hot_words: int = 300_000, max_edges: int = 2_000_000) -> Model:
-    """The model from the sums of ``count_strings_and_words``; what comes to the driver is bounded by the two sizes."""
+def edges_of(counts: DataFrame) -> DataFrame:
+    """(edge, n) of all orders, written to the shared folder."""
+    orders = F.array(*[F.col("code").bitwiseAND(F.lit((1 << WIDTH * (j + 1)) - 1)).bitwiseOR(F.lit((j + 1) << TAG))
+                       for j in range(ORDER + 1)])
+    return stage(counts.where("kind = 0").select(F.explode(orders).alias("edge"), "n")
+                 .groupBy("edge").agg(F.sum("n").alias("n")), "edges")
+
+
+def with_words(counts: DataFrame, edges: DataFrame, hot_words: int) -> Model:
+    """The model of these edges, which come to the driver, and of all words."""
     words, texts = counts.where("kind = 1"), counts.where("kind = 2")
     n = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     hot = words.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "n").toArrow()
-    orders = F.array(*[F.col("code").bitwiseAND(F.lit((1 << WIDTH * (j + 1)) - 1)).bitwiseOR(F.lit((j + 1) << TAG))
-                       for j in range(ORDER + 1)])
-    edges = stage(counts.where("kind = 0").select(F.explode(orders).alias("edge"), "n")
-                  .groupBy("edge").agg(F.sum("n").alias("n")), "edges")
-    least = least_count(edges, max_edges)
-    got = edges.where(F.col("n") >= least).toArrow()
+    got = edges.toArrow()
     return Model(got["edge"].to_numpy().astype(np.uint64), got["n"].to_numpy(), hot["word"].combine_chunks(),
                  hot["n"].to_numpy(), n["n"] + ends, n["v"] + int(ends > 0), ends)
 
 
+def fit(counts: DataFrame, hot_words: int = 300_000, max_edges: int = 2_000_000) -> Model:
+    """A model that fits into memory: of the edges with a least count, ``max_edges`` at most.  ``score`` uses all edges."""
+    edges = edges_of(counts)
+    least = least_count(edges, max_edges)
+    return with_words(counts, edges.where(F.col("n") >= least), hot_words)
+
+
+def frequent_strings(edges: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, log10 of the probabilities in the full model) of the most frequent whole strings, ``most`` at most."""
+    whole = edges.where(F.col("edge") >= F.lit((ORDER + 1) << TAG)).withColumn("context", F.shiftright("edge", WIDTH))
+    least = least_count(whole, most)
+    totals = whole.groupBy("context").agg(F.sum("n").alias("total"))
+    got = whole.where(F.col("n") >= least).join(totals, "context").select("edge", "n", "total").toArrow()
+    code = got["edge"].to_numpy().astype(np.uint64) & np.uint64((1 << TAG) - 1)
+    return code, np.log10((2.0 * got["n"].to_numpy() - 1) / (2.0 * got["total"].to_numpy())).astype(np.float32)
+
+
+def resolved(edges: DataFrame, asked: DataFrame, model: Broadcast, buckets: int) -> DataFrame:
+    """(rid, score): sums of the code lengths of the strings asked for, (rid, bucket, codes, owners); several for a rid.
+
+    ``owners`` count from ``rid``.
+    """
+    longer = edges.where(F.col("edge") >= F.lit((NEAR + 1) << TAG)).select("edge", "n")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            bucket, keys, counts = packed(np.concatenate([k for k, _ in wait]), np.concatenate([c for _, c in wait]), buckets)
+            wait.clear()
+            k = len(bucket)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket, pa.int32()), pa.array(np.full(k, -1), pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(counts, pa.binary())], ["bucket", "rid", "codes", "others"])
+
+        for b in batches:
+            wait.append((b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy().astype(np.int64)))
+            if sum(len(k) for k, _ in wait) > SLICE:
+                yield rows()
+        if wait:
+            yield rows()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = model.value
+        at, here = -1, short
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        ask: list[tuple[int, np.ndarray, np.ndarray]] = []
+        rids: list[np.ndarray] = []
+        costs: list[np.ndarray] = []
+        fresh = True
+
+        def settle() -> None:
+            nonlocal here, fresh
+            if not ask:
+                return
+            if fresh:
+                here = replace(short, edges=np.concatenate([short.edges, *keys]), counts=np.concatenate([short.counts, *counts]))
+                keys.clear()
+                counts.clear()
+                fresh = False
+            c, n = counted([o.astype(np.int64) + r for r, _, o in ask], [here.code_length(np.concatenate([c for _, c, _ in ask]))])
+            rids.append(c)
+            costs.append(n)
+            ask.clear()
+
+        def sums() -> pa.RecordBatch:
+            r, c = counted(rids, costs)
+            rids.clear()
+            costs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(c, pa.float64())], ["rid", "score"])
+
+        for b in batches:
+            for bucket, rid, code, other in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != at:
+                    settle()
+                    keys.clear()
+                    counts.clear()
+                    at, fresh = bucket, True
+                if rid < 0:  # edges come before the strings
+                    keys.append(from_planes(code, np.uint64))
+                    counts.append(from_planes(other, np.int64))
+                else:
+                    ask.append((rid, from_planes(code, np.uint64), from_planes(other, np.uint32)))
+                    if len(ask) * CHUNK > SLICE:
+                        settle()
+                        if sum(map(len, rids)) > SLICE:
+                            yield sums()
+        settle()
+        if rids:
+            yield sums()
+
+    dealt = longer.mapInArrow(deal, "bucket int, rid bigint, codes binary, others binary")
+    return (dealt.unionByName(asked.select("bucket", "rid", "codes", F.col("owners").alias("others")))
+            .repartition("bucket").sortWithinPartitions("bucket", "rid").mapInArrow(run, "rid bigint, score double"))
+
+
 def score(df: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", hot_words: int = 300_000,
           max_edges: int = 2_000_000) -> DataFrame:
     """(doc_id, training, n_tokens, n_known, train_tokens, base_score, score) of every row of ``df``.
 
     ``training`` tells the rows to learn from.  ``score`` is the model's log10 probability of the whole text, ``base_score``
-    that of its tokens under smoothed unigrams, ``n_known`` the tokens that training has.
+    that of its tokens under smoothed unigrams, ``n_known`` the tokens that training has.  ``hot_words`` and ``max_edges``
+    bound what the tasks look up by themselves and don't change a result.
     """
     counts = count_strings_and_words(df.where(training), text)
-    model = fit(counts, hot_words, max_edges)
+    edges = edges_of(counts)
+    short = F.col("edge") < F.lit((NEAR + 1) << TAG)
+    model = with_words(counts, edges.where(short), hot_words)
     held = df.sparkSession.sparkContext.broadcast(model)
+    often = df.sparkSession.sparkContext.broadcast(frequent_strings(edges, max_edges))
+    buckets = max(12, edges.where(~short).count() // BUCKET)
     rows = df.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"),
                      F.coalesce(training, F.lit(False)).alias("training"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    rare_kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         index, logs = m.words
+        known_codes, known_costs = often.value
+        frequent = Table(known_codes, known_costs)
         first, done = TaskContext.get().partitionId() << 36, 0
+        rest: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def asked() -> pa.RecordBatch:
+            bucket, codes, owners = packed(np.concatenate([c for c, _ in rest]), np.concatenate([o for _, o in rest]), buckets)
+            rest.clear()
+            columns = {"rid": pa.array(np.full(len(bucket), first), pa.int64()), "bucket": pa.array(bucket, pa.int32()),
+                       "codes": pa.array(codes, pa.binary()), "owners": pa.array(owners, pa.binary())}
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(bucket), f.type)) for f in fields], [f.name for f in fields])
+
         end = float(np.log10((m.ends + 0.1) / m.denominator))
         for whole in batches:
+            fields = [pa.field("rid", pa.int64()), whole.schema.field(1).with_name("doc_id"), pa.field("training", pa.bool_()),
+                      pa.field("n_tokens", pa.int64()), pa.field("n_known", pa.int64()), pa.field("base_score", pa.float64()),
+                      pa.field("score", pa.float64()), pa.field("rare", rare_kind), pa.field("bucket", pa.int32()),
+                      pa.field("codes", pa.binary()), pa.field("owners", pa.binary())]
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
                 texts = [lowered(t.as_py()) for t in b.column(0)]
@@ -333,10 +490,12 @@ def score(df: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "
                 wait: list[tuple[int, np.ndarray]] = []
                 size = 0
 
-                def settle(sums: np.ndarray = sums, wait: list = wait) -> None:
-                    cost = m.code_length(np.concatenate([c for _, c in wait]))
-                    starts = np.cumsum([0] + [len(c) for _, c in wait[:-1]])
-                    np.add.at(sums, [k for k, _ in wait], np.add.reduceat(cost, starts))
+                def settle(done: int, sums: np.ndarray = sums, wait: list = wait) -> None:
+                    code = np.concatenate([c for _, c in wait])
+                    owner = np.repeat([k for k, _ in wait], [len(c) for _, c in wait])
+                    hit, cost = frequent.find(code)
+                    sums += np.bincount(owner, cost, len(sums))
+                    rest.append((code[~hit], (owner[~hit] + done).astype(np.uint32)))
                     wait.clear()
 
                 for k, t in enumerate(texts):
@@ -344,10 +503,14 @@ def score(df: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "
                         wait.append((k, c))
                         size += len(c)
                         if size > SLICE:
-                            settle()
+                            settle(done)
                             size = 0
+                            if sum(len(c) for c, _ in rest) > SLICE:
+                                yield asked()
                 if wait:
-                    settle()
+                    settle(done)
+                if sum(len(c) for c, _ in rest) > SLICE:
+                    yield asked()
                 n_tokens, n_known, base, rare = [], [], [], []
                 for t in texts:
                     words = words_of(t)
@@ -360,17 +523,24 @@ def score(df: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([first + done + i for i in range(len(texts))], pa.int64()), b.column(1), b.column(2),
                      pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
-                    ["rid", "doc_id", "training", "n_tokens", "n_known", "base_score", "score", "rare"])
+                     pa.array(sums, pa.float64()), pa.array(rare, rare_kind), pa.nulls(len(texts), pa.int32()),
+                     pa.nulls(len(texts), pa.binary()), pa.nulls(len(texts), pa.binary())], [f.name for f in fields])
                 done += len(texts)
-
-    each = stage(rows.mapInArrow(run, f"rid bigint, doc_id {kind}, training boolean, n_tokens bigint, n_known bigint, "
-                                      "base_score double, score double, rare array<struct<word string, n bigint>>"), "scored")
+        if rest:
+            yield asked()
+
+    both = stage(rows.mapInArrow(run, f"rid bigint, doc_id {kind}, training boolean, n_tokens bigint, n_known bigint, "
+                                      "base_score double, score double, rare array<struct<word string, n bigint>>, "
+                                      "bucket int, codes binary, owners binary"), "scored")
+    each = both.where("bucket is null").drop("bucket", "codes", "owners")
+    cold = (resolved(edges, both.where("bucket is not null"), held, buckets)
+            .groupBy("rid").agg(F.sum("score").alias("cold")))
     known = counts.where("kind = 1").select("word", F.col("n").alias("c"))
     rest = (each.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(known, "word", "left")
             .groupBy("rid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
                                 F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(model.denominator))).alias("add")))
-    return each.join(rest, "rid", "left").select(
+    return each.join(rest, "rid", "left").join(cold, "rid", "left").select(
         "doc_id", "training", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(model.tokens)).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("add", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base_score") + F.coalesce("add", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("cold", F.lit(0.0))).alias("score"))

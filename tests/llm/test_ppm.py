@@ -77,6 +77,17 @@ def test_no_training_is_uniform(spark):
     assert m.score(b"abc") == pytest.approx(-4 * math.log10(ALPHABET))
 
 
+@pytest.mark.parametrize("max_edges", [1, 20, 10 ** 6])
+def test_scoring_uses_every_edge_whatever_fits_a_task(spark, max_edges):
+    import pyspark.sql.functions as F
+    texts = [*TEXTS, "abracadabra", "the xyz", "zzzzz", "\x00é€", "abrabrabr THE"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    trie = tree(TEXTS)
+    for r in score(df, F.col("doc_id") < len(TEXTS), max_edges=max_edges).collect():
+        s = symbols(texts[r.doc_id])
+        assert r.score == pytest.approx(sum(math.log10(cost(trie, s[i - ORDER:i], s[i])) for i in range(ORDER, len(s))), abs=1e-4)
+
+
 def test_slices_equal_the_whole(monkeypatch):
     t = lowered("some text of a few words " * 9)
     whole = np.concatenate(list(strings(t)))
