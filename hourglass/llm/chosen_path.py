@@ -4,8 +4,12 @@ Each document is the set of its ``n``-word shingles.  One run of the chosen-path
 children of its node that belong to those tokens ``t`` of ``x`` whose hash, drawn anew for every node, is below
 ``1 / (threshold |x|)``: two sets that meet the threshold share a child with probability 1 - 1/e or more.  Nodes of at
 most ``limit`` sets are compared at once, larger ones are split again, up to ``DEPTH`` times; what is still large then
-(copies of one text never split) is compared in blocks, every pair of blocks in its own group.  Runs are repeated until
-the chance to miss a pair at the threshold is below ``1 - recall``.
+(copies of one text never split) is compared in blocks, every pair of blocks in its own group.
+
+A pair in a node that is split must share the next child too, so a run finds it with the chance that a branching process
+of mean 1 lives through ``DEPTH`` steps (0.37).  A pair that shares no split node in the first runs is missed with chance
+1/e a run; sets that were in a split node, both sets of all other pairs among them, go through more runs.  The two chances
+and that of the sketches to tell a linked pair apart add up to less than ``1 - recall``.
 
 1. One map over the documents writes, for each, the fingerprint of its set, a bottom-``SKETCH`` sketch and its paths.
    Documents with equal sets are folded into one representative with a number of copies.
@@ -41,29 +45,54 @@ DEPTH, SKETCH, BLOCK = 3, 64, 256
 ALL = float(1 << 64)
 
 
-def runs_for(recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / -1.0)  # a run misses a pair at the threshold with chance 1/e at most
+def survival(depth: int) -> float:
+    """Least chance that a pair at the threshold shares a path of ``depth`` children in a run."""
+    s = 1.0
+    for _ in range(depth):
+        s = 1 - math.exp(-s)
+    return s
+
+
+def runs_for(recall: float) -> tuple[int, int]:
+    """(first runs, all runs): misses are shared out to pairs outside split nodes (0.2), inside (0.6) and sketches (0.2)."""
+    miss = 1 - recall
+    first = math.ceil(math.log(0.2 * miss) / math.log(1 - survival(1)))
+    return first, max(first, math.ceil(math.log(0.6 * miss) / math.log(1 - survival(DEPTH))))
 
 
-def children(tokens: np.ndarray, node: int, threshold: float) -> np.ndarray:
-    """Path hashes of the children of ``node`` that the set goes to."""
-    here = np.array([node], np.uint64)
-    h = tokens * (mix(here) | np.uint64(1))  # tokens are hashes already: a random odd factor draws anew
+def least_common(threshold: float, recall: float) -> np.ndarray:
+    """By sketch size, the common values below which a linked pair stays with a chance of 0.2 of the misses at most."""
+    out = np.zeros(SKETCH + 1)
+    for k in range(1, SKETCH + 1):
+        tail = np.cumsum([math.comb(k, c) * threshold ** c * (1 - threshold) ** (k - c) for c in range(k + 1)])
+        out[k] = np.searchsorted(tail, 0.2 * (1 - recall), side="right")
+    return out
+
+
+def children(tokens: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``nodes``, path hashes) of the children of the nodes that the set goes to."""
     share = 1 / (threshold * len(tokens))
-    return mix((h if share >= 1 else h[h < np.uint64(int(share * ALL))]) ^ here)
-
-
-def paths(tokens: np.ndarray, runs: int, threshold: float) -> list[tuple]:
-    """(p1, p2, p3) for every path of the set through ``runs`` trees; None where a path ends early."""
-    out = []
-    for run in range(runs):
-        for a in children(tokens, run + 1, threshold).tolist():
-            second = children(tokens, a, threshold).tolist()
-            if not second:
-                out.append((a, None, None))
-            for b in second:
-                third = children(tokens, b, threshold).tolist()
-                out += [(a, b, c) for c in third] or [(a, b, None)]
+    factors = mix(nodes) | np.uint64(1)  # tokens are hashes already: a random odd factor draws anew
+    step = max(1, (1 << 16) // len(tokens))
+    owners, out = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for k in range(0, len(nodes), step):
+        h = factors[k:k + step, None] * tokens
+        at, token = np.nonzero(h < np.uint64(int(share * ALL)) if share < 1 else np.ones(h.shape, bool))
+        owners.append(at + k)
+        out.append(mix(h[at, token] ^ nodes[at + k]))
+    return np.concatenate(owners), np.concatenate(out)
+
+
+def paths(tokens: np.ndarray, runs: int, threshold: float, first: int = 0) -> list[tuple]:
+    """(p1, p2, p3), signed, for every path of the set through the trees ``first`` to ``runs``; None where a path ends early."""
+    _, a = children(tokens, np.arange(first + 1, runs + 1, dtype=np.uint64), threshold)
+    of_b, b = children(tokens, a, threshold)
+    of_c, c = children(tokens, b, threshold)
+    x, y, z = (v.view(np.int64).tolist() for v in (a, b, c))
+    out = [(x[k], None, None) for k in np.setdiff1d(np.arange(len(a)), of_b).tolist()]
+    up = of_b.tolist()
+    out += [(x[up[k]], y[k], None) for k in np.setdiff1d(np.arange(len(b)), of_c).tolist()]
+    out += [(x[up[k]], y[k], last) for k, last in zip(of_c.tolist(), z, strict=True)]
     return out
 
 
@@ -86,19 +115,27 @@ def common_counts(rows: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
     return out
 
 
-def sets(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, runs: int) -> DataFrame:
-    """(rid, key, doc_id, f1, f2, size, sketch, paths) of every row, written to the shared folder."""
+def sets(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, runs: tuple[int, int]) -> DataFrame:
+    """(rid, key, doc_id, f1, f2, size, sketch, paths, more) of every row, written to the shared folder; ``more`` are the
+    paths of the runs after the first."""
     docs = df.select(content_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, first, done = WordHashes(), TaskContext.get().partitionId() << 36, 0
         step = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64())]))
+
+        def lists(found: list[list[tuple]]) -> pa.Array:
+            flat = [p for f in found for p in f]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            columns = [pa.array([p[k] for p in flat], pa.int64()) for k in range(3)]
+            return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(step.value_type)))
+
         signed = lambda v: None if v is None else v - (1 << 64) if v >> 63 else v
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                rid, f1, f2, size, sketch, found = [], [], [], [], [], []
+                rid, f1, f2, size, sketch, found, more = [], [], [], [], [], [], []
                 for t in b.column(2):
                     s = shingle_hashes(t.as_py(), n, words)
                     rid.append(first + done)
@@ -109,50 +146,61 @@ def sets(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, runs:
                     size.append(len(s))
                     low = np.partition(mix(s), SKETCH - 1)[:SKETCH] if len(s) > SKETCH else mix(s)
                     sketch.append(np.sort(low).tobytes())
-                    found.append([tuple(map(signed, p)) for p in paths(s, runs, threshold)] if len(s) else [])
+                    found.append(paths(s, runs[0], threshold) if len(s) else [])
+                    more.append(paths(s, runs[1], threshold, runs[0]) if len(s) else [])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rid, pa.int64()), b.column(0), b.column(1), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                     pa.array(size, pa.int64()), pa.array(sketch, pa.binary()),
-                     pa.array([[{"p1": x, "p2": y, "p3": z} for x, y, z in f] for f in found], step)],
-                    ["rid", "key", "doc_id", "f1", "f2", "size", "sketch", "paths"])
+                     pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), lists(found), lists(more)],
+                    ["rid", "key", "doc_id", "f1", "f2", "size", "sketch", "paths", "more"])
 
+    chains = "array<struct<p1 bigint, p2 bigint, p3 bigint>>"
     return stage(docs.mapInArrow(described, f"rid bigint, key binary, doc_id {kind}, f1 bigint, f2 bigint, size bigint, "
-                                            "sketch binary, paths array<struct<p1 bigint, p2 bigint, p3 bigint>>"), "sets")
+                                            f"sketch binary, paths {chains}, more {chains}"), "sets")
 
 
 def nodes(reps: DataFrame, limit: int) -> DataFrame:
     """(node, rid, n) of the nodes to compare: those of 2 to ``limit`` sets, at the last depth of any size from 2 on."""
-    chains = reps.select("rid", F.explode("paths").alias("c")).select("rid", "c.p1", "c.p2", "c.p3")
-    out, alive = [], chains
-    for depth in range(1, DEPTH + 1):
-        at = f"p{depth}"
-        here = alive.where(F.col(at).isNotNull()).select(F.col(at).alias("node"), "rid").distinct()
-        count = stage(here.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"nodes{depth}")
-        small = count if depth == DEPTH else count.where(F.col("n") <= limit)
-        out.append(here.join(small, "node"))
-        if depth < DEPTH:
-            # written, as it is read three times from here on
-            alive = stage(alive.join(count.where(F.col("n") > limit).select(F.col("node").alias(at)), at, "left_semi"),
-                          f"split{depth}")
+    out: list[DataFrame] = []
+
+    def descend(paths: DataFrame, name: str) -> DataFrame:
+        """Adds the nodes of these paths; returns the chains through nodes that are split at the first depth."""
+        chains = paths.select("rid", F.explode(name).alias("c")).select("rid", "c.p1", "c.p2", "c.p3")
+        split, alive = [], chains
+        for depth in range(1, DEPTH + 1):
+            at = f"p{depth}"
+            here = alive.where(F.col(at).isNotNull()).select(F.col(at).alias("node"), "rid").distinct()
+            count = stage(here.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"nodes{depth}")
+            small = count if depth == DEPTH else count.where(F.col("n") <= limit)
+            out.append(here.join(small, "node"))
+            if depth < DEPTH:
+                # written, as it is read three times from here on
+                alive = stage(alive.join(count.where(F.col("n") > limit).select(F.col("node").alias(at)), at, "left_semi"),
+                              f"split{depth}")
+                split.append(alive)
+        return split[0]
+
+    again = descend(reps, "paths").select("rid").distinct()
+    descend(reps.join(again, "rid", "left_semi"), "more")
     both = out[0]
     for o in out[1:]:
         both = both.unionByName(o)
     return both
 
 
-def candidate_edges(reps: DataFrame, threshold: float, limit: int) -> DataFrame:
+def candidate_edges(reps: DataFrame, threshold: float, limit: int, recall: float = 0.9999) -> DataFrame:
     """(a, b): spanning forests of the sets whose sketches agree, node by node."""
     found = nodes(reps, limit).join(reps.select("rid", "size", "sketch"), "rid")
     rows = in_blocks(found, "n", "rid", limit).select("node", "b1", "b2", "rid", "size", "sketch")
 
+    least = least_common(threshold, recall)
+
     def compare(c: dict) -> Iterator[tuple[int, int]]:
         ids, size = c["rid"].to_numpy(), c["size"].to_numpy()
         if len(ids) < 2:
             return
         common = common_counts([np.frombuffer(x, np.uint64) for x in c["sketch"].to_pylist()])
-        # |x and y| >= threshold * max(|x|, |y|) for linked sets; four standard deviations of slack for the sample
-        k = np.minimum(np.maximum.outer(size, size), SKETCH)
-        linked = common >= threshold * k - 4 * np.sqrt(k * threshold * (1 - threshold))
+        # |x and y| >= threshold * max(|x|, |y|) for linked sets; slack for the sample
+        linked = common >= least[np.minimum(np.maximum.outer(size, size), SKETCH)]
         yield from forest(linked, ids)
 
     return in_groups(rows, ["node", "b1", "b2"], "a bigint, b bigint", compare)
@@ -202,7 +250,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     s = sets(df, doc_id, text, n, threshold, runs_for(recall))
     folded = stage(s.groupBy("f1", "f2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "folded")
     reps = s.join(folded.select(F.col("rep").alias("rid"), "copies"), "rid")
-    comps = stage(connected_components(candidate_edges(reps.where("size > 0"), threshold, limit))
+    comps = stage(connected_components(candidate_edges(reps.where("size > 0"), threshold, limit, recall))
                   .withColumnRenamed("node", "rid").withColumnRenamed("component", "comp"), "candidates")
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     members = (s.select("rid", "key").join(folded.select(F.col("rep").alias("rid"), "copies"), "rid")

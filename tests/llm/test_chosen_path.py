@@ -1,5 +1,6 @@
 """Chosen-path join and components against brute force, in one block and in many."""
 
+import math
 import random
 from itertools import combinations
 
@@ -87,6 +88,22 @@ def test_paths_are_shared_often_enough():
     assert hit / 400 > 0.6
 
 
+def test_pairs_at_the_threshold_in_split_nodes_are_found(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(1000):
+        w = [f"v{rng.randrange(10 ** 9)}" for _ in range(104)]  # 100 shingles, 80 of them in the prefix
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:84]))]
+    out = C.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), limit=1).collect()
+    assert sum(r.n_links != 1 for r in out) == 0
+
+
+def test_sketches_keep_their_share_of_the_misses():
+    least = int(C.least_common(0.8, 0.9999)[C.SKETCH])
+    chance = lambda m: sum(math.comb(64, c) * 0.8 ** c * 0.2 ** (64 - c) for c in range(m))
+    assert chance(least) <= 2e-5 < chance(least + 1)
+
+
 def test_common_counts_in_chunks():
     rng = np.random.default_rng(2)
     rows = [np.unique(rng.integers(0, 80, rng.integers(0, 60))).astype(np.uint64) for _ in range(12)]
