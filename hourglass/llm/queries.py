@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontam, langid, line_dedup, nbsvm, packing, pii, ppm, spherical_caps, url_trie
+from . import alignment, chosen_path, decontam, langid, line_dedup, nbsvm, packing, pii, ppm, spherical_caps, url_trie
 from .common import table
 
 
@@ -213,8 +213,21 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return nbsvm.score(docs.select("doc_id", "text", (bucket == 0).alias("held_out")), model, keep=("doc_id", "held_out"))
 
 
+def piece_path() -> str:
+    """The public sentencepiece model; its folder is the same on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    found = alignment.align(table(spark, sf, "documents"), bpe_path(), piece_path(), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_pii, op4_lm_scoring, op5_decontamination, op6_line_dedup, op7_jaccard_join, op8_url_filter, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_pii, op4_lm_scoring, op5_decontamination, op6_line_dedup, op7_jaccard_join, op8_url_filter, op9_language_id, op10_quality,
+                                op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

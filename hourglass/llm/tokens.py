@@ -1,8 +1,9 @@
 """Byte-level BPE ids of whole texts, from a public tokenizer file.
 
-The ids are those of ``tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` with the strings
-of special tokens taken as ordinary text.  Texts are cut where that tokenizer's own word splitting always cuts, and
-each different chunk is encoded once and remembered; tests hold the result against the tokenizer itself.
+The ids are those of ``tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False)``; the strings of
+special tokens in a text get their own ids, or with ``plain_special`` those of ordinary text.  Texts are cut where that
+tokenizer's own word splitting always cuts, and each different chunk is encoded once and remembered; tests hold the
+result against the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -27,14 +28,22 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def even(text: str) -> bool:
+    """Whether every space of a text stands alone between two words."""
+    return (text != "" and text.replace("\n", "").isprintable() and "  " not in text and " \n" not in text
+            and "\n " not in text and text[0] != " " and text[-1] != " ")
+
+
 class Encoder(dict):
     """Chunk (without its leading space) -> little-endian uint32 ids; holds ``most`` chunks, then starts anew."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000, plain_special: bool = False):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens", ())}
+        self.special = {} if plain_special else special
+        self.cuts = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})")
         symbols = byte_symbols()
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items()
                  if token not in special}
@@ -52,10 +61,20 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian uint32 bytes."""
+        if text and any(s in text for s in self.special):
+            return b"".join([self.special.get(part) or self.ordinary(part) for part in self.cuts.split(text)])
+        return self.ordinary(text)
+
+    def after_space(self, text: str) -> bytes:
+        """Ids of a space and the text."""
+        if even(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.__getitem__, text.split(" ")))
+        return self.encode(" " + text)
+
+    def ordinary(self, text: str) -> bytes:
         if not text:
             return b""
-        if (text.replace("\n", "").isprintable() and "  " not in text and " \n" not in text and "\n " not in text
-                and text[0] != " " and text[-1] != " "):
+        if even(text):
             # every space stands alone before a word, so the tokenizer cuts before each of them
             first, *rest = text.split(" ")
             return self.plain(first) + b"".join(map(self.__getitem__, rest))
