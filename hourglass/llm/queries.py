@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chosen_path, decontam, langid, line_dedup, nbsvm, packing, pii, ppm, spherical_caps, url_trie
+from . import alignment, chosen_path, decontam, langid, line_dedup, nbsvm, packing, pii, ppm, prefix_trie, spherical_caps, toxicity, url_trie
 from .common import table
 
 
@@ -213,6 +213,65 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return nbsvm.score(docs.select("doc_id", "text", (bucket == 0).alias("held_out")), model, keep=("doc_id", "held_out"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Trie of all conversations, each rebuilt on the first turns of the first one of its twenty."""
+    conv = F.col("conv")
+    found = prefix_trie.prefix_trie(table(spark, sf, "conversations"), head=F.crc32(conv.cast("string")) % 4, base=conv - conv % 20)
+    return found.drop("key")
+
+
+OP11_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, hex(encode(coalesce(role, ''))),
+                                          md5(coalesce(text, ''))) AS r,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) AS what,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT DISTINCT c, encode(c::VARCHAR) AS digits FROM t),
+crc AS (
+  SELECT c, digits, 0::BIGINT AS i, 4294967295::BIGINT AS v FROM k
+  UNION ALL
+  SELECT c, digits, i + 1, CASE WHEN i % 9 = 0
+    THEN xor(v, ascii(substr(decode(digits), (i // 9 + 1)::INTEGER, 1)))::BIGINT
+    ELSE xor(v >> 1, 3988292384 * (v & 1))::BIGINT END
+  FROM crc WHERE i < 9 * octet_length(digits)),
+h AS (SELECT c, xor(v, 4294967295) % 4 AS h FROM crc WHERE i = 9 * octet_length(digits)),
+n AS (SELECT c, max(r) AS n FROM t GROUP BY c),
+m AS (SELECT h.c, h.h, least(h.h, coalesce(n.n, 0)) AS taken FROM h LEFT JOIN n ON n.c = h.c - h.c % 20),
+b AS (
+  SELECT m.c, t.r AS d, t.what, t.words FROM m JOIN t ON t.c = m.c - m.c % 20 AND t.r <= m.taken
+  UNION ALL
+  SELECT m.c, t.r - m.h + m.taken, t.what, t.words FROM m JOIN t ON t.c = m.c AND t.r > m.h),
+p AS (
+  SELECT c, 0 AS d, '' AS p, 0 AS words FROM k
+  UNION ALL
+  SELECT c, d, string_agg(what, '') OVER (PARTITION BY c ORDER BY d), words FROM b),
+z AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+x AS (
+  SELECT p.p, p.d, min(p.c) AS conv_id, count(*) AS n_convs, max(p.words) AS words,
+         sha256(coalesce(string_agg(CASE WHEN z.d = p.d THEN p.c::VARCHAR END, ',' ORDER BY p.c), '')) AS ends
+  FROM p JOIN z ON z.c = p.c GROUP BY p.p, p.d),
+y AS (
+  SELECT x.*, up.conv_id AS parent_conv_id,
+         (SELECT count(*) FROM x w WHERE w.d = x.d + 1 AND starts_with(w.p, x.p)) AS n_children
+  FROM x LEFT JOIN x up ON up.d = x.d - 1 AND starts_with(x.p, up.p))
+SELECT a.conv_id, a.d::BIGINT AS depth, a.parent_conv_id, a.n_convs, a.n_children,
+       count(*) FILTER (WHERE e.n_children = 0) AS n_leaves, sum((e.n_convs - 1) * e.words)::BIGINT AS saved_tokens,
+       a.ends AS ends_sha256
+FROM y a JOIN y e ON e.d >= a.d AND starts_with(e.p, a.p)
+GROUP BY a.p, a.conv_id, a.d, a.parent_conv_id, a.n_convs, a.n_children, a.ends
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf, "documents")
+    bucket = F.crc32(F.col("doc_id").cast("string")) % 5
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(bucket != 0))
+    return toxicity.score(docs.select("doc_id", "text", (bucket == 0).alias("held_out")), model, keep=("doc_id", "held_out"))
+
+
 def piece_path() -> str:
     """The public sentencepiece model; its folder is the same on every machine."""
     import public_tokenizers
@@ -227,8 +286,9 @@ def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_pii, op4_lm_scoring, op5_decontamination, op6_line_dedup, op7_jaccard_join, op8_url_filter, op9_language_id, op10_quality,
-                                op13_alignment)}
+                                op11_prefix_trie, op12_toxicity, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL,
+            "op11_prefix_trie": OP11_SQL}
