@@ -132,6 +132,45 @@ def label_pairs(hours: DataFrame, stays: DataFrame, keys: Sequence[str] = KEYS,
     return h.join(lab, on=[*keys, t], how="inner")
 
 
+def next_stay(hours: DataFrame, stays: DataFrame, keys: Sequence[str] = KEYS, t: str = "hour_mark", width: int = 3600,
+              block: int = 1024) -> DataFrame:
+    """[D7 J14] Every input hour with the nearest stay that starts after it: icu_start, icu_end, hours_to_go.
+
+    As-of join without pairs.  Time is cut into buckets of ``width`` seconds and runs of ``block`` buckets.  A stay later
+    in the hour's own bucket is found by a window over that bucket's rows.  Else the stay is the least one of the next
+    bucket that has any; it is carried backwards over empty buckets by a window over the buckets of one run, and from run
+    to run by a window over the runs.  All three are bounded by the bucket, the run and the number of runs, so a busy
+    encounter is spread over its buckets.  Of stays that start together the one that ends first counts, nulls last.
+    Hours without a following stay have nulls; repeated hours are kept, null hours and nulls among the keys match nothing.
+    """
+    keys = list(keys)
+    far = F.lit(253402300799).cast("bigint")  # an open end sorts last
+    s = stays.where(F.col("icu_start").isNotNull()).select(
+        *keys, F.struct(_epoch(F.col("icu_start")).alias("at"), F.coalesce(_epoch(F.col("icu_end")), far).alias("upto"),
+                        F.col("icu_start").alias("icu_start"), F.col("icu_end").alias("icu_end")).alias("stay"))
+    # one stay for each second, pre-aggregated
+    s = s.groupBy(*keys, F.col("stay.at").alias("_t")).agg(F.min("stay").alias("_stay"))
+    points = hours.where(F.col(t).isNotNull()).select(*keys, t).distinct().withColumn("_t", _epoch(F.col(t)))
+    rows = (points.select(*keys, t, "_t", F.lit(None).cast(s.schema["_stay"].dataType).alias("_stay"))
+            .unionByName(s.select(*keys, F.lit(None).cast(points.schema[t].dataType).alias(t), "_t", "_stay"))
+            .withColumn("_b", F.floor(F.col("_t") / F.lit(width))))
+    # least stay of each bucket, then the least of the buckets after it in its run, then that of the runs after it
+    first = rows.groupBy(*keys, "_b").agg(F.min("_stay").alias("_least")).withColumn("_r", F.floor(F.col("_b") / F.lit(block)))
+    runs = first.groupBy(*keys, "_r").agg(F.min("_least").alias("_run"))
+    after_run = Window.partitionBy(*keys).orderBy("_r").rowsBetween(1, Window.unboundedFollowing)
+    runs = runs.select(*keys, "_r", F.first("_run", ignorenulls=True).over(after_run).alias("_later"))
+    after = Window.partitionBy(*keys, "_r").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    first = (first.withColumn("_rest", F.first("_least", ignorenulls=True).over(after)).join(runs, [*keys, "_r"])
+             .select(*keys, "_b", F.coalesce("_rest", "_later").alias("_after")))
+    # in the hour's own bucket: the least stay with a later second
+    own = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(1, Window.unboundedFollowing)
+    found = (rows.withColumn("_own", F.first("_stay", ignorenulls=True).over(own)).where(F.col(t).isNotNull())
+             .join(first, [*keys, "_b"]).withColumn("_next", F.coalesce("_own", "_after"))
+             .select(*keys, t, "_next.icu_start", "_next.icu_end",
+                     ((F.col("_next.at") - F.col("_t")) / F.lit(3600.0)).alias("hours_to_go")))
+    return hours.join(found, [*keys, t], "left")
+
+
 def first_observation(df: DataFrame, key: str = "personid", order: Sequence[str] = ("hour_mark",),
                       tie: Sequence[str] = ("encounterid", "outcome_tx_ICU")) -> DataFrame:
     """[F1 J15] The earliest row per key (``row_number() = 1`` ordered by ``order``, then ``tie``).

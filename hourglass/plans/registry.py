@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as K
 from ..functions.dates import DEFAULT_AS_OF, age_years, hours_between
 from ..functions.nested import array_concat, pick, to_int_lenient
-from ..operators import cohort, concepts, label, metrics, models, panel, profile
+from ..operators import boosting, cohort, concepts, label, logit, metrics, models, panel, profile
 from ..operators.conditions import condition_matrix, condition_prevalence
 from ..operators.pivot import pivot_indicator, pivot_sum, pivot_values
 from ..session import ensure_checkpoint_dir, materialize
@@ -182,7 +182,7 @@ def q_category_index(spark, sf):
 @register("complete_cases")
 def q_complete_cases(spark, sf):
     """[B10] outer panel rows with no missing vital."""
-    return profile.complete_cases(vitals_panel(spark, sf, "outer"), VITALS)
+    return profile.complete_cases(vitals_wide(spark, sf, "inner"), VITALS)
 
 
 @register("melt_vitals")
@@ -327,10 +327,10 @@ def q_key_spine_distinct(spark, sf):
 
 @register("tenant_semi_join")
 def q_tenant_semi_join(spark, sf):
-    """[D8] encounters at tenants having an ICU location."""
-    e = lens.encounter(spark, sf, with_locations=True).select(
-        "encounterid", "tenant", array_concat(F.col("locations.name")).alias("encounterLocations"))
-    return cohort.in_sites_with(e, "tenant", F.col("encounterLocations").rlike("ICU")).select("encounterid", "tenant")
+    """[D8] encounters at tenants having an ICU location; the tenants come from the stay rows, no array is folded."""
+    e = lens.encounter(spark, sf).select("encounterid", "tenant")
+    wards = lens.locations(spark, sf).where(F.col("name").rlike("ICU")).select("encounterid")
+    return e.join(e.join(wards, "encounterid", "left_semi").select("tenant").distinct(), "tenant", "left_semi").select("encounterid", "tenant")
 
 
 @register("attach_latest")
@@ -569,57 +569,104 @@ def q_logit_inference(spark, sf):
 
 @register("logistic_l2")
 def q_logistic_l2(spark, sf):
-    """[K3 K4 K5] L2 logistic regression (C = 1) on length features; test metrics."""
+    """[K3 K4 K5] L2 logistic regression (C = 1) on length features: coefficients and test metrics."""
     d = models.hash_split(docs(spark, sf).withColumn("log_len", F.log1p("score")), "doc_id")
     a = models.assemble(d, ["log_len"])
     train, test = a.where("is_test = 0"), a.where("is_test = 1")
     m = models.fit_logistic(train, "y")
     p = models.with_probability(m, test)
-    acc = metrics.accuracy(p, "y", "prediction").select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+    acc = metrics.accuracy(p, "y", "prediction").select(F.lit("accuracy").alias("metric"), F.round("accuracy", 6).alias("value"))
     auc = metrics.roc_auc(p, "y", "probability_1").select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
-    return acc.unionByName(auc)
+    fitted = spark.createDataFrame([("intercept", round(float(m.intercept), 3)), ("log_len", round(float(m.coefficients[0]), 3))],
+                                   "metric string, value double")
+    return acc.unionByName(auc).unionByName(fitted)
 
 
-def model_rows(spark, sf):
-    """[K1 K2] the trimmed model input as label ``y``, ``features`` (25 columns) and ``is_test``, written once."""
+def model_columns(spark, sf):
+    """[K1 K2] the trimmed model input with its 25 feature columns, label ``y`` and ``is_test``, written once."""
     from .icu_model import model_features, model_input
     d = models.hash_split(model_input(spark, sf), "personid").withColumnRenamed("outcome_tx_ICU", "y")
-    return materialize(models.assemble(d, model_features()).select("personid", "y", "features", "is_test"))
+    return materialize(d.select("personid", "y", *model_features(), "is_test")), model_features()
 
 
-@register("gbt_fit")
-def q_gbt_fit(spark, sf, n_estimators=20, learning_rate=0.1, max_depth=3):
-    """[K11] gradient-boosted trees on the model input, test accuracy and AUC.
-
-    The arguments are cut down for this box; ``models.fit_gbt`` defaults to the analysis' own (1000 trees of depth 6,
-    rate 0.01).
-    """
-    a = model_rows(spark, sf)
-    m = models.fit_gbt(a.where("is_test = 0"), "y", n_estimators=n_estimators, learning_rate=learning_rate,
-                       max_depth=max_depth)
-    p = models.with_probability(m, a.where("is_test = 1"))
+def _test_metrics(p):
     acc = metrics.accuracy(p, "y", "prediction").select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
     auc = metrics.roc_auc(p, "y", "probability_1").select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
     return acc.unionByName(auc)
 
 
+@register("gbt_fit")
+def q_gbt_fit(spark, sf, n_estimators=1000, learning_rate=0.01, max_depth=6):
+    """[K11] gradient-boosted trees on the model input at the analysis' own settings, test accuracy and AUC."""
+    d, features = model_columns(spark, sf)
+    m = boosting.fit(d.where("is_test = 0"), "y", features, "personid", n_estimators, learning_rate, max_depth)
+    return _test_metrics(materialize(m.transform(d.where("is_test = 1")).select("y", "prediction", "probability_1")))
+
+
 @register("learning_rate_sweep")
-def q_learning_rate_sweep(spark, sf, n_estimators=10, max_depth=3):
-    """[K12 A5] the six learning rates of the analysis on the model input, two features a split; cut down to 10 trees of
-    depth 3 for this box (the analysis grows 1000)."""
-    a = model_rows(spark, sf)
-    return models.learning_rate_sweep(a.where("is_test = 0"), a.where("is_test = 1"), "y",
-                                      [0.05, 0.1, 0.25, 0.5, 0.75, 1.0], n_estimators=n_estimators, max_depth=max_depth,
-                                      max_features="2")
+def q_learning_rate_sweep(spark, sf, n_estimators=1000, max_depth=3):
+    """[K12 A5] accuracy at the six learning rates of the analysis: 1000 trees of depth 3, two features a split."""
+    d, features = model_columns(spark, sf)
+    found = boosting.sweep(d.where("is_test = 0"), "y", features, "personid", [0.05, 0.1, 0.25, 0.5, 0.75, 1.0],
+                           n_estimators, max_depth, 2)
+
+    def right(part):
+        return F.avg(F.when(F.col("is_test") == part, (F.col("prediction") == F.col("y")).cast("double")))
+
+    out = None
+    for rate, m in found.items():
+        one = m.transform(d).agg(right(0).alias("train_accuracy"), right(1).alias("test_accuracy")).select(
+            F.lit(rate).alias("learning_rate"), "train_accuracy", "test_accuracy")
+        out = one if out is None else out.unionByName(one)
+    return materialize(out)
+
+
+# The grid of the analysis.
+GRID = {"learning_rate": [0.001, 0.01, 0.05, 0.1, 1], "max_depth": [2, 3, 5, 8, 10], "max_features": ["log2", "sqrt"],
+        "n_estimators": [100, 200, 300, 500, 1000, 2000, 3000]}
 
 
 @register("grid_search_cv")
 def q_grid_search_cv(spark, sf, grid=None, folds=5):
-    """[K13] cross-validated grid on the model input, folds by key hash; cut down to 4 configurations of 5 trees for this
-    box (the analysis tries 350)."""
-    a = model_rows(spark, sf).where("is_test = 0")
-    grid = grid or {"learning_rate": [0.1, 0.5], "max_depth": [2, 3], "n_estimators": [5]}
-    return models.grid_search_cv(a, "y", grid, folds=folds, parallelism=4, key="personid")
+    """[K13] mean accuracy over five folds of all 350 configurations of the analysis."""
+    d, features = model_columns(spark, sf)
+    return boosting.grid_search(d.where("is_test = 0"), "y", features, "personid", **(grid or GRID), folds=folds)[0]
+
+
+@register("grid_best_report")
+def q_grid_best_report(spark, sf, grid=None, folds=5):
+    """[K13 K8 K9 K10] the best configuration refitted on all training rows: confusion cells, report and AUC on the test part.
+
+    The grid's fits are shared with ``grid_search_cv`` through the checkpoint folder.
+    """
+    d, features = model_columns(spark, sf)
+    _, m = boosting.grid_search(d.where("is_test = 0"), "y", features, "personid", **(grid or GRID), folds=folds)
+    p = materialize(m.transform(d.where("is_test = 1")).select("y", "prediction", "probability_1"))
+    cells = metrics.confusion_matrix(p, "y", "prediction").select(
+        F.concat(F.lit("confusion "), F.col("actual"), F.lit(" "), F.col("predicted")).alias("metric"), F.col("count").cast("double").alias("value"))
+    r = metrics.classification_report(p, "y", "prediction")
+    report = r.unpivot(["label"], ["precision", "recall", "f1_score"], "part", "value").select(
+        F.concat_ws(" ", "part", "label").alias("metric"), "value")
+    return cells.unionByName(report).unionByName(_test_metrics(p))
+
+
+@register("logit_model_input")
+def q_logit_model_input(spark, sf):
+    """[K14] unregularised logit without intercept on all rows of the 25-column input: coefficients, errors, z, p."""
+    d, features = model_columns(spark, sf)
+    return logit.fit(d, "y", features).table(d)
+
+
+@register("logit_threshold_table")
+def q_logit_threshold_table(spark, sf):
+    """[K15] confusion cells of that fit at a threshold of 0.3, and the precision."""
+    d, features = model_columns(spark, sf)
+    p = materialize(d.withColumn("p", logit.fit(d, "y", features).probability()).select("y", "p"))
+    cells = metrics.threshold_table(p, "y", "p", 0.3).select(
+        F.concat(F.lit("actual "), F.col("actual"), F.lit(" predicted "), F.col("predicted")).alias("metric"), F.col("count").cast("double").alias("value"))
+    hit = F.col("p") > 0.3
+    precision = p.agg(F.try_divide(F.sum(F.when(hit & (F.col("y") == 1), 1.0).otherwise(0.0)), F.count(F.when(hit, 1)).cast("double")).alias("value"))
+    return cells.unionByName(precision.select(F.lit("precision").alias("metric"), "value"))
 
 
 # ---------------------------------------------------------------------------
@@ -790,6 +837,13 @@ def q_icu_label_pairs(spark, sf):
     return label.label_pairs(vitals_wide(spark, sf, "inner"), stays(spark, sf))
 
 
+@register("next_icu_stay")
+def q_next_icu_stay(spark, sf):
+    """[D7 J14] every hour with the next ICU stay of its encounter: start, end, hours to go; nulls where none follows."""
+    hours = vitals_wide(spark, sf, "inner").select("personid", "encounterid", "hour_mark")
+    return label.next_stay(hours, stays(spark, sf)).withColumn("hours_to_go", F.round("hours_to_go", 6))
+
+
 @register("icu_label_next")
 def q_icu_label_next(spark, sf):
     """[J14 as meant] one label per hour, never-ICU hours kept."""

@@ -12,7 +12,7 @@ import sys
 from hourglass.plans.registry import queries
 from hourglass.session import get_session
 
-SKIP = {"feature_table_roundtrip", "logistic_l2", "gbt_fit", "learning_rate_sweep", "grid_search_cv",
+SKIP = {"feature_table_roundtrip", "logistic_l2", "gbt_fit", "learning_rate_sweep", "grid_search_cv", "grid_best_report",
         "icu_model_metrics", "logit_inference", "category_index", "trim_cascade"}  # eager work at build time
 
 

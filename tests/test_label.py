@@ -3,6 +3,7 @@ brute-force hour x stay pairing (§2.13 #5-#7)."""
 
 import datetime as dt
 import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,3 +107,33 @@ def test_labels_independent_of_session_time_zone(spark):
     with sql_conf(spark, **{"session.timeZone": "Asia/Kolkata"}):
         other = sorted(tuple(r) for r in label.label_next(_hours(spark, hours), _stays(spark, stays)).collect())
     assert base == other and [r[-1] for r in base] == [1, 1]
+
+
+def test_next_stay_equals_nearest_following_pair(spark):
+    """Random hours and stays with ties, gaps over many buckets, open ends and a busy encounter; small buckets and runs."""
+    import datetime as dt
+    rnd = random.Random(8)
+    zero = dt.datetime(2021, 3, 1)
+    hours, stays_ = [], []
+    for e in range(6):
+        for _ in range(200 if e == 0 else 20):
+            hours.append((e % 3, e, zero + dt.timedelta(seconds=rnd.randrange(400_000))))
+        for _ in range((150, 0, 1, 5, 5, 5)[e]):
+            a = zero + dt.timedelta(seconds=rnd.choice([3600, 86400, rnd.randrange(400_000)]))
+            stays_.append((e % 3, e, a, rnd.choice([None, a + dt.timedelta(hours=rnd.randrange(5))])))
+    hours += hours[:3] + [(0, 0, None), (None, 0, zero)]
+    stays_ += stays_[:3] + [(0, 0, None, zero), (None, 0, zero + dt.timedelta(hours=1), None)]
+    h = spark.createDataFrame(hours, "personid int, encounterid int, hour_mark timestamp_ntz")
+    s = spark.createDataFrame(stays_, "personid int, encounterid int, icu_start timestamp_ntz, icu_end timestamp_ntz")
+
+    def nearest(p, e, t):
+        ahead = [(a, b is None, b or zero, b) for q, f, a, b in stays_ if (q, f) == (p, e) and p is not None and t is not None and a is not None and a > t]
+        if not ahead:
+            return None, None, None
+        a, _, _, b = min(ahead)
+        return a, b, (a - t).total_seconds() / 3600
+
+    want = Counter((*k, *nearest(*k)) for k in hours)
+    for width, block in ((3600, 1024), (1000, 3), (50_000, 1)):
+        got = label.next_stay(h, s, width=width, block=block).select("personid", "encounterid", "hour_mark", "icu_start", "icu_end", "hours_to_go")
+        assert Counter(map(tuple, got.collect())) == want
