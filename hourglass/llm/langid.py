@@ -10,24 +10,25 @@ buckets x classes table, sums it once for each different word and adds up words.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or (with ``reject``) one below the
 calibrated confidence; ties go to the first language in sorted order; repeated rows are predicted one by one; rows with
-a null language or text train nothing; no labelled rows at all is an error; an empty table gives an empty result.
+a null language or text train nothing; of several texts of one id and language the least one trains; without labelled
+rows every prediction is ``und`` with score 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # the same letters as in fit; number signs are none
 UNDETERMINED = "und"
 BITS, DIMENSIONS = 18, 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +88,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: list[str], bits: int = B
     """Stochastic gradient descent over (buckets, counts) rows; the rate falls linearly to zero."""
     languages = sorted(set(y))
     if not languages:
-        raise ValueError("no labelled texts to learn a language from")
+        return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     known = np.array([languages.index(k) for k in y])
     shares = [n / max(n.sum(), 1) for _, n in rows]
@@ -132,9 +133,11 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
         bits: int = BITS) -> Model:
     """Learn from at most ``max_rows`` rows of ``df`` that have a language and a letter (smallest id hashes)."""
     rows = df.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("y"), F.col(text).cast("string").alias("t"))
-    ids = (rows.where(F.col("y").isNotNull() & F.col("t").rlike(r"\p{L}")).select("_id", "y").distinct()
+    rows = rows.where(F.col("y").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    ids = (rows.select("_id", "y").distinct()
            .orderBy(F.xxhash64("_id"), "_id", "y").limit(max_rows))  # bounded by max_rows: it may be broadcast
-    chosen = rows.join(F.broadcast(ids), ["_id", "y"], "left_semi").select("t", "y")
+    # one text for each id and language, so that max_rows bounds the rows
+    chosen = rows.join(F.broadcast(ids), ["_id", "y"], "left_semi").groupBy("_id", "y").agg(F.min("t").alias("t")).select("t", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,7 +196,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             langs, sure = [], []
             for t in b.column(0):
                 s = t.as_py()
-                p = m.probabilities(scores.mean(s)) if s and LETTER.search(s) else None
+                p = m.probabilities(scores.mean(s)) if m.languages and s and LETTER.search(s) else None
                 k = int(p.argmax()) if p is not None else 0
                 none = p is None or (reject and p[k] < m.least)
                 langs.append(UNDETERMINED if none else m.languages[k])

@@ -10,8 +10,9 @@ Fitting takes at most ``max_rows`` labelled rows, chosen by the smallest hashes
 their feature indices; scoring is a map over all rows with two fixed-size weight tables (2**bits floats) as broadcast.
 
 Defined results: a null or empty text has no features and gets the score of the bias alone; a document with several
-labels counts with their majority (a tie is 1); null labels are left out; fewer than two classes among the training rows
-raise an error; repeated rows are scored one by one; an empty table gives an empty result.
+labels counts with their majority (a tie is 1), one with several texts with the least of them; null labels are left out;
+with one class only, all rows score its smoothed share, (1 + n) / (2 + n), and without labels 0.5; repeated rows are scored
+one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ FOLDED, RUNS = Folded(), re.compile(r"(.)\1+")
 
 
 def shape(word: str) -> str:
-    """Classes of the first 64 characters, runs of one class folded."""
-    return RUNS.sub(r"\1", word[:64].translate(FOLDED))
+    """Classes of the characters, runs of one class folded."""
+    return RUNS.sub(r"\1", word.translate(FOLDED))
 
 
 class Words(dict):
@@ -172,7 +173,8 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, cost: floa
     """Fit on feature rows and 0/1 labels; every fifth row of each class is held back for the sigmoid."""
     y = np.asarray(y)
     if len(set(y.tolist())) < 2:
-        raise ValueError("the training rows hold fewer than two classes")
+        p = (1 + y.sum()) / (2 + len(y))
+        return Model(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
 
     def machine(keep: np.ndarray) -> Model:
         part, labels = [rows[i] for i in keep], y[keep]
@@ -205,7 +207,8 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str =
              .agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("y")))
     ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded by max_rows: it may be broadcast
-    marked = ids.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    # one text for each id, so that max_rows bounds the rows
+    marked = ids.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
     def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()

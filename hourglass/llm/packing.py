@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -155,15 +154,14 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
 
     both = stage(docs.mapInArrow(packed, schema + ", open boolean, merge bigint"), "packed")
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["sequence_id", "offset"], kind="stable")
-        run = zip(frame["doc_id"].tolist(), frame["start"].tolist(), frame["ids"].tolist(), frame["doc_tokens"].tolist(),
-                  strict=True)
-        first = (1 << 62) + (int(frame["merge"].iloc[0]) << 36)
+    def merge(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        run = zip(*(rows[c].to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True)
+        first = (1 << 62) + (rows["merge"][0].as_py() << 36)
         done = [row for k, pieces in enumerate(merged(run, capacity)) for row in rows_of(first + k, pieces)]
-        return pd.DataFrame(done, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-                            ).astype({"doc_id": frame["doc_id"].dtype})
+        types = [rows.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     return (both.where("not open").select(*names)
-            .unionByName(both.where("open").groupBy("merge").applyInPandas(merge, schema).select(*names)))
+            .unionByName(both.where("open").groupBy("merge").applyInArrow(merge, schema).select(*names)))

@@ -181,7 +181,7 @@ t AS (
   SELECT source, count(DISTINCT page) AS host_pages FROM d GROUP BY source),
 gone AS (
   SELECT f.source, list(f.line) AS lines FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source
-  WHERE f.n_pages >= 5 AND f.n_pages > 0.1 * t.host_pages GROUP BY f.source),
+  WHERE f.n_pages >= 2 AND f.n_pages > 0.1 * t.host_pages GROUP BY f.source),
 j AS (
   SELECT d.doc_id, d.text, d.lines,
          list_transform(d.lines, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS trimmed,

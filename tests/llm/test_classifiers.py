@@ -36,8 +36,12 @@ def test_language_odd_rows(spark):
     model.least = 1.1
     assert {r.lang_pred for r in langid.predict(odd, model, reject=True).collect()} == {"und"}
     assert langid.predict(odd.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        langid.fit(df.where("lang is null"))
+    none = langid.fit(df.where("lang is null"))
+    assert {(r.lang_pred, r.score) for r in langid.predict(df, none).collect()} == {("und", 0.0)}
+    signs = spark.createDataFrame([(k, x) for k, x in enumerate(["½", "² ①", "Ⅷ", "12 _", "ª"])], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(signs, langid.fit(df)).orderBy("doc_id").collect()] == [True] * 4 + [False]
+    many = langid.fit(spark.createDataFrame([(1, "en", f"text {k}") for k in range(50)] + [(2, "fr", "le")], "doc_id long, lang string, text string"))
+    assert many.languages == ["en", "fr"]
 
 
 def test_word_scores_equal_direct_average():
@@ -90,9 +94,18 @@ def test_quality_odd_rows(spark):
     got = {r.doc_id: r.score for r in nbsvm.score(docs, model).collect()}
     assert len(got) == 43 and got[31] > got[30] and got[77] == got[78] and 0 <= got[None] <= 1
     assert nbsvm.score(docs.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        nbsvm.fit(docs, labels.where("quality = 1"))
+    for part, want in (("quality = 1", 17 / 18), ("quality = 0 and doc_id < 3", 1 / 4), ("quality > 5", 0.5)):
+        got = nbsvm.score(docs, nbsvm.fit(docs, labels.where(part))).collect()
+        assert all(r.score == pytest.approx(want) for r in got) and len(got) == 43
 
 
 def test_shapes():
-    assert [nbsvm.shape(w) for w in ("word###", "OF!!", "Ab12c", "é", "|")] == ["a#", "A!", "Aa0a", "a", "|"]
+    assert [nbsvm.shape(w) for w in ("word###", "OF!!", "Ab12c", "é", "|", "a" * 70 + "1")] == ["a#", "A!", "Aa0a", "a", "|", "a0"]
+
+
+@pytest.mark.parametrize("query", ["op9_language_id", "op10_quality", "op12_toxicity"])
+def test_empty_tables(spark, tmp_path, query):
+    import __spark_entry__ as E
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert E.queries()[query](spark, str(tmp_path)).collect() == []

@@ -12,14 +12,13 @@ from hourglass.llm.queries import bpe_path, op1_packing
 from hourglass.llm.tokens import Encoder
 
 ODD = ["", " ", "  ", "a  b", "a \n b", "\n\n x", "x \n", "tab\tand\r\nline", "a\x1cb", "é ü ß   x", "it's we'll",
-       "<|endoftext|> x", "١٢٣ 12ab!!", "a " * 50, "\U0001F600 \U0001F600", "word. \nNext", "  lead", "trail  ", "x\n\n\ny z",
+       "<|endoftext|> x", "hello <|endoftext|> world<|endoftext|>", "<|endoftext|><|endoftext|>", "١٢٣ 12ab!!", "a " * 50, "\U0001F600 \U0001F600", "word. \nNext", "  lead", "trail  ", "x\n\n\ny z",
        "zero​width á", "x﻿y z"]
 
 
 @pytest.fixture(scope="module")
 def hf():
     t = Tokenizer.from_file(bpe_path())
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -92,3 +91,9 @@ def test_merge_of_leftovers(sizes):
     lengths = [sum(len(p[2]) // WIDTH for p in s) for s in seqs]
     assert sum(lengths) == sum(sizes) and all(n == 10 or n & (n - 1) == 0 for n in lengths)
     assert lengths.count(10) == sum(sizes) // 10
+
+
+def test_large_ids_beside_a_null(spark):
+    """Ids beyond 2**53 come back as they are, in leftovers too."""
+    df = spark.createDataFrame([(9007199254740993, "a b"), (None, "c"), (9007199254740995, "d")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in pack(df, bpe_path()).collect()} == {9007199254740993, None, 9007199254740995}
