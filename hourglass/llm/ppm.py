@@ -46,7 +46,8 @@ ALPHABET = 0xF8 - 26 + 1  # A-Z are lower-cased; the end is a symbol
 TAG = 56  # the bits above tell the number of symbols of a key
 EMPTY = np.uint64(2 ** 64 - 1)  # no key has that value
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # multiplicative hashing: 2**64 over the golden ratio
-SLICE = 1 << 20
+SLICE = 1 << 20  # strings that wait for a row or a sum
+STEP = 1 << 18  # strings that are looked up at once
 NEAR = 3  # context symbols that tell the bucket
 BUCKET, CHUNK = 250_000, 512  # edges of a bucket on average, strings or edges of a row
 TOKENS = re.compile("[^\x20\x09-\x0D]+")
@@ -287,7 +288,7 @@ def count_strings_and_words(df: DataFrame, text: str = "text") -> DataFrame:
                 for c in strings(raw):
                     codes.append(c)
                     size += len(c)
-                    if size > 1 << 21:
+                    if size > SLICE:
                         sum_up()
                 if len(words) > 200_000:
                     yield batch(1, None, list(words), list(words.values()))
@@ -312,26 +313,44 @@ def count_strings_and_words(df: DataFrame, text: str = "text") -> DataFrame:
     return stage(partial.groupBy("kind", "code", "word").agg(F.sum("n").alias("n")), "counts")
 
 
-def least_count(edges: DataFrame, max_edges: int, step: int = 1000) -> int:
-    """Smallest count such that at most ``max_edges`` edges have it or more; ``step`` counts are looked at in one go."""
-    least = 1
-    while True:
-        spread = dict(edges.where(F.col("n") >= least).groupBy(F.least(F.col("n"), F.lit(least + step))).count()
-                      .toDF("n", "edges").collect())
-        size = sum(spread.values())
-        for m in range(least, least + step):
-            if size <= max_edges:
-                return m
-            size -= spread.get(m, 0)
-        least += step
+def least_count(edges: DataFrame, max_edges: int, parts: int = 1000) -> int:
+    """Smallest count such that at most ``max_edges`` edges have it or more.
+
+    One grouped count by powers of two finds the power in which it lies, and each further one a thousandth of that range.
+    """
+    spread = dict(edges.groupBy(F.length(F.bin("n"))).count().toDF("bits", "edges").collect())
+    size, low, width = 0, 1, 1
+    for bits in sorted(spread, reverse=True):
+        if size + spread[bits] > max_edges:
+            low = width = 1 << (bits - 1)
+            break
+        size += spread[bits]
+    else:
+        return 1
+    while True:  # ``size`` edges have low + width or more; those from ``low`` on are too many
+        step = -(-width // parts)
+        inside = edges.where((F.col("n") >= low) & (F.col("n") < low + width))
+        spread = dict(inside.groupBy(F.floor((F.col("n") - low) / step)).count().toDF("part", "edges").collect())
+        for part in sorted(spread, reverse=True):
+            if size + spread[part] > max_edges:
+                if step == 1:
+                    return low + part + 1
+                low, width = low + part * step, min(step, width - part * step)
+                break
+            size += spread[part]
 
 
 def edges_of(counts: DataFrame) -> DataFrame:
-    """(edge, n) of all orders, written to the shared folder."""
-    orders = F.array(*[F.col("code").bitwiseAND(F.lit((1 << WIDTH * (j + 1)) - 1)).bitwiseOR(F.lit((j + 1) << TAG))
-                       for j in range(ORDER + 1)])
-    return stage(counts.where("kind = 0").select(F.explode(orders).alias("edge"), "n")
-                 .groupBy("edge").agg(F.sum("n").alias("n")), "edges")
+    """(edge, n) of all orders, from tables in the shared folder."""
+    # each order is summed from the next longer one, which is written first
+    out, now = None, counts.where("kind = 0").select("code", "n")
+    for j in range(ORDER, -1, -1):
+        if j < ORDER:
+            shorter = F.col("code").bitwiseAND(F.lit((1 << WIDTH * (j + 1)) - 1))
+            now = stage(now.groupBy(shorter.alias("code")).agg(F.sum("n").alias("n")), f"order{j}")
+        part = now.select(F.col("code").bitwiseOR(F.lit((j + 1) << TAG)).alias("edge"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def with_words(counts: DataFrame, edges: DataFrame, hot_words: int) -> Model:
@@ -429,7 +448,7 @@ def resolved(edges: DataFrame, asked: DataFrame, model: Broadcast, buckets: int)
                     counts.append(from_planes(other, np.int64))
                 else:
                     ask.append((rid, from_planes(code, np.uint64), from_planes(other, np.uint32)))
-                    if len(ask) * CHUNK > SLICE:
+                    if len(ask) * CHUNK > STEP:
                         settle()
                         if sum(map(len, rids)) > SLICE:
                             yield sums()
@@ -502,7 +521,7 @@ def score(df: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "
                     for c in strings(t):
                         wait.append((k, c))
                         size += len(c)
-                        if size > SLICE:
+                        if size > STEP:
                             settle(done)
                             size = 0
                             if sum(len(c) for c, _ in rest) > SLICE:
