@@ -30,7 +30,7 @@ from .common import mix
 
 LETTER = regex.compile(r"\p{L}")  # the same letters as in fit; number signs are none
 UNDETERMINED = "und"
-BITS, DIMENSIONS = 18, 16
+BITS, DIMENSIONS, LEAST_STEPS = 18, 16, 300
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.cumprod(np.full(256, MULTIPLIER))  # a word is told apart by its first 255 characters and the sum of the rest
 
@@ -85,7 +85,10 @@ class Model:
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: list[str], bits: int = BITS, dimensions: int = DIMENSIONS,
           epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model:
-    """Stochastic gradient descent over (buckets, counts) rows; the rate falls linearly to zero."""
+    """Stochastic gradient descent over (buckets, counts) rows; the rate falls linearly to zero.
+
+    Few rows are gone over more often than ``epochs``, so that there are ``LEAST_STEPS`` steps.
+    """
     languages = sorted(set(y))
     if not languages:
         return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -97,6 +100,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: list[str], bits: int = B
     order = rng.permutation(len(rows))
     back = order[: len(order) // 5] if len(order) >= 20 else order[:0]
     kept = order[len(back):]
+    epochs = max(epochs, -(-LEAST_STEPS // max(len(kept), 1)))
     step, steps = 0, epochs * len(kept)
     for _ in range(epochs):
         for i in rng.permutation(kept):
