@@ -136,3 +136,12 @@ def test_query_beats_unigrams_of_words_on_held_out_text(spark):
         assert r.held_out == held(r.doc_id)
     kept = [r for r in got if r.held_out]
     assert sum(r.score for r in kept) > sum(r.base_score for r in kept)
+
+
+@pytest.mark.parametrize("parts", [3, 1000])
+def test_least_count(spark, parts):
+    counts = [1] * 40 + [2] * 9 + [3, 3, 4, 7, 8, 500, 501, 1023, 1024, 1024, 9_999_999]
+    df = spark.createDataFrame([(n,) for n in counts], "n long").coalesce(1)
+    for most in (0, 1, 4, 11, 60, 100):
+        got = ppm.least_count(df, most, parts)
+        assert sum(n >= got for n in counts) <= most and (got == 1 or sum(n >= got - 1 for n in counts) > most)
