@@ -11,10 +11,13 @@ of mean 1 lives through ``DEPTH`` steps (0.37).  A pair that shares no split nod
 1/e a run; sets that were in a split node, both sets of all other pairs among them, go through more runs.  The two chances
 and that of the sketches to tell a linked pair apart add up to less than ``1 - recall``.
 
-1. One map over the documents writes, for each, the fingerprint of its set, a bottom-``SKETCH`` sketch and its paths.
-   Documents with equal sets are folded into one representative with a number of copies.
+1. One map over the documents writes, for each, the fingerprint of its set, a bottom-``SKETCH`` sketch and its paths
+   through the first runs.  Documents with equal sets are folded into one representative with a number of copies.
 2. Nodes are counted (partial sums first), and only sets in nodes of two or more go on.  Inside a node, sketches are
-   compared; a node returns a spanning forest of what it found, never its pairs.
+   compared; a node returns a spanning forest of what it found, never its pairs.  This goes in three rounds: the first
+   run, all first runs, and the later runs, whose paths a second map draws for the documents that need them.  From the
+   second round on a set carries the component that the rounds before gave it: nodes within one component are passed over,
+   and a node's forest joins components only, so a large group of copies is linked once and not in every node of every run.
 3. The forests' components are verified exactly on whole texts, again in blocks: the number of linked documents for
    each representative, and a spanning forest of the true links, whose components are the classes.
 
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import forest, in_blocks, in_groups
-from .common import WordHashes, content_key, mix, shingle_hashes, stage
+from .common import Stages, WordHashes, content_key, mix, shingle_hashes, stage
 from .components import connected_components
 
 DEPTH, SKETCH, BLOCK = 3, 64, 256
@@ -115,27 +118,30 @@ def common_counts(rows: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
     return out
 
 
-def sets(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, runs: tuple[int, int]) -> DataFrame:
-    """(rid, key, doc_id, f1, f2, size, sketch, paths, more) of every row, written to the shared folder; ``more`` are the
-    paths of the runs after the first."""
+PATHS = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64())]))
+CHAINS = "array<struct<p1 bigint, p2 bigint, p3 bigint>>"
+
+
+def path_lists(found: list[list[tuple]]) -> pa.Array:
+    flat = [p for f in found for p in f]
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    columns = [pa.array([p[k] for p in flat], pa.int64()) for k in range(DEPTH)]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(PATHS.value_type)))
+
+
+def sets(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, runs: int) -> DataFrame:
+    """(rid, key, doc_id, f1, f2, size, sketch, lead, paths) of every row; ``lead`` are the paths of the first run, ``paths``
+    those of the others up to ``runs``.  A sketch holds the low halves of its hashes."""
     docs = df.select(content_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, first, done = WordHashes(), TaskContext.get().partitionId() << 36, 0
-        step = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64())]))
-
-        def lists(found: list[list[tuple]]) -> pa.Array:
-            flat = [p for f in found for p in f]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            columns = [pa.array([p[k] for p in flat], pa.int64()) for k in range(3)]
-            return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(step.value_type)))
-
         signed = lambda v: None if v is None else v - (1 << 64) if v >> 63 else v
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                rid, f1, f2, size, sketch, found, more = [], [], [], [], [], [], []
+                rid, f1, f2, size, sketch, lead, found = [], [], [], [], [], [], []
                 for t in b.column(2):
                     s = shingle_hashes(t.as_py(), n, words)
                     rid.append(first + done)
@@ -145,67 +151,113 @@ def sets(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, runs:
                     f2.append(signed(both & ((1 << 64) - 1)))
                     size.append(len(s))
                     low = np.partition(mix(s), SKETCH - 1)[:SKETCH] if len(s) > SKETCH else mix(s)
-                    sketch.append(np.sort(low).tobytes())
-                    found.append(paths(s, runs[0], threshold) if len(s) else [])
-                    more.append(paths(s, runs[1], threshold, runs[0]) if len(s) else [])
+                    sketch.append(np.unique(low.astype(np.uint32)).tobytes())
+                    lead.append(paths(s, 1, threshold) if len(s) else [])
+                    found.append(paths(s, runs, threshold, 1) if len(s) else [])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rid, pa.int64()), b.column(0), b.column(1), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                     pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), lists(found), lists(more)],
-                    ["rid", "key", "doc_id", "f1", "f2", "size", "sketch", "paths", "more"])
-
-    chains = "array<struct<p1 bigint, p2 bigint, p3 bigint>>"
-    return stage(docs.mapInArrow(described, f"rid bigint, key binary, doc_id {kind}, f1 bigint, f2 bigint, size bigint, "
-                                            f"sketch binary, paths {chains}, more {chains}"), "sets")
-
-
-def nodes(reps: DataFrame, limit: int) -> DataFrame:
-    """(node, rid, n) of the nodes to compare: those of 2 to ``limit`` sets, at the last depth of any size from 2 on."""
-    out: list[DataFrame] = []
-
-    def descend(paths: DataFrame, name: str) -> DataFrame:
-        """Adds the nodes of these paths; returns the chains through nodes that are split at the first depth."""
-        chains = paths.select("rid", F.explode(name).alias("c")).select("rid", "c.p1", "c.p2", "c.p3")
-        split, alive = [], chains
-        for depth in range(1, DEPTH + 1):
-            at = f"p{depth}"
-            here = alive.where(F.col(at).isNotNull()).select(F.col(at).alias("node"), "rid").distinct()
-            count = stage(here.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"nodes{depth}")
-            small = count if depth == DEPTH else count.where(F.col("n") <= limit)
-            out.append(here.join(small, "node"))
-            if depth < DEPTH:
-                # written, as it is read three times from here on
-                alive = stage(alive.join(count.where(F.col("n") > limit).select(F.col("node").alias(at)), at, "left_semi"),
-                              f"split{depth}")
-                split.append(alive)
-        return split[0]
-
-    again = descend(reps, "paths").select("rid").distinct()
-    descend(reps.join(again, "rid", "left_semi"), "more")
+                     pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), path_lists(lead), path_lists(found)],
+                    ["rid", "key", "doc_id", "f1", "f2", "size", "sketch", "lead", "paths"])
+
+    return docs.mapInArrow(described, f"rid bigint, key binary, doc_id {kind}, f1 bigint, f2 bigint, size bigint, "
+                                      f"sketch binary, lead {CHAINS}, paths {CHAINS}")
+
+
+def later_paths(texts: DataFrame, n: int, threshold: float, first: int, last: int) -> DataFrame:
+    """(rid, paths) through the trees ``first`` to ``last`` from (rid, text)."""
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                found = [paths(shingle_hashes(t.as_py(), n, words), last, threshold, first) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), path_lists(found)], ["rid", "paths"])
+
+    return texts.select("rid", "text").mapInArrow(drawn, f"rid bigint, paths {CHAINS}")
+
+
+def nodes(chains: DataFrame, limit: int, keep: Stages) -> tuple[DataFrame, DataFrame]:
+    """From (rid, comp, p1, p2, p3): (node, rid, comp, n) of the nodes to compare, those with sets of several components and
+    at most ``limit`` sets, at the last depth of any size; and the chains through nodes that are split at the first depth."""
+    out, split, alive = [], [], chains
+    for depth in range(1, DEPTH + 1):
+        at = f"p{depth}"
+        here = alive.where(F.col(at).isNotNull()).select(F.col(at).alias("node"), "rid", "comp").distinct()
+        count = keep(here.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                     .where("n > 1 and lo <> hi").select("node", "n"), f"nodes{depth}")
+        small = count if depth == DEPTH else count.where(F.col("n") <= limit)
+        out.append(here.join(small, "node"))
+        if depth < DEPTH:
+            # written, as it is read three times from here on
+            alive = keep(alive.join(count.where(F.col("n") > limit).select(F.col("node").alias(at)), at, "left_semi"),
+                         f"split{depth}")
+            split.append(alive)
     both = out[0]
     for o in out[1:]:
         both = both.unionByName(o)
-    return both
-
+    return both, split[0]
 
-def candidate_edges(reps: DataFrame, threshold: float, limit: int, recall: float = 0.9999) -> DataFrame:
-    """(a, b): spanning forests of the sets whose sketches agree, node by node."""
-    found = nodes(reps, limit).join(reps.select("rid", "size", "sketch"), "rid")
-    rows = in_blocks(found, "n", "rid", limit).select("node", "b1", "b2", "rid", "size", "sketch")
 
+def candidate_edges(found: DataFrame, sketches: DataFrame, threshold: float, limit: int, recall: float = 0.9999) -> DataFrame:
+    """(a, b): spanning forests of the components whose sets agree in their sketches, node by node."""
+    rows = (in_blocks(found.join(sketches.select("rid", "size", "sketch"), "rid"), "n", "rid", limit)
+            .select("node", "b1", "b2", "rid", "comp", "size", "sketch"))
     least = least_common(threshold, recall)
 
     def compare(c: dict) -> Iterator[tuple[int, int]]:
-        ids, size = c["rid"].to_numpy(), c["size"].to_numpy()
+        ids, of = np.unique(c["comp"].to_numpy(), return_inverse=True)
         if len(ids) < 2:
             return
-        common = common_counts([np.frombuffer(x, np.uint64) for x in c["sketch"].to_pylist()])
+        size = c["size"].to_numpy()
+        common = common_counts([np.frombuffer(x, np.uint32) for x in c["sketch"].to_pylist()])
         # |x and y| >= threshold * max(|x|, |y|) for linked sets; slack for the sample
         linked = common >= least[np.minimum(np.maximum.outer(size, size), SKETCH)]
+        if len(ids) < len(of):
+            order = np.argsort(of, kind="stable")
+            starts = np.searchsorted(of[order], np.arange(len(ids)))
+            linked = np.logical_or.reduceat(np.logical_or.reduceat(linked[order][:, order], starts, 0), starts, 1)
         yield from forest(linked, ids)
 
     return in_groups(rows, ["node", "b1", "b2"], "a bigint, b bigint", compare)
 
 
+def candidates(df: DataFrame, reps: DataFrame, doc_id: str, text: str, n: int, threshold: float, limit: int, recall: float,
+               keep: Stages) -> DataFrame:
+    """(rid, comp): components of the candidate links among the representatives, for those that have any."""
+    first, last = runs_for(recall)
+
+    def chains(rows: DataFrame, path: str) -> DataFrame:
+        return rows.select("rid", "comp", F.explode(path).alias("c")).select("rid", "comp", "c.*")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+
+    def joined(found: DataFrame, name: str) -> DataFrame:
+        """``comps`` after the components that the nodes' forests link are put together."""
+        own = Stages(df.sparkSession)
+        now = (connected_components(candidate_edges(found, reps, threshold, limit, recall), keep=own)
+               .select(F.col("node").alias("comp"), F.col("component").alias("top")))
+        if comps is None:
+            out = keep(now.select(F.col("comp").alias("rid"), F.col("top").alias("comp")), name)
+        else:
+            moved = comps.join(now, "comp", "left").select("rid", F.coalesce("top", "comp").alias("comp"))
+            fresh = now.join(comps.select(F.col("rid").alias("comp")), "comp", "left_anti")
+            out = keep(moved.unionByName(fresh.select(F.col("comp").alias("rid"), F.col("top").alias("comp"))), name)
+        own.drop()
+        return out
+
+    comps = None
+    found, _ = nodes(chains(reps.withColumn("comp", F.col("rid")), "lead"), limit, keep)
+    comps = joined(found, "comps1")
+    found, split = nodes(chains(labelled(reps.select("rid", F.concat("lead", "paths").alias("paths"))), "paths"), limit, keep)
+    again = keep(split.select("rid").distinct().join(reps.select("rid", "key"), "rid"), "again")
+    comps = joined(found, "comps2")
+    texts = df.select(content_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text")).join(again, "key")
+    more = keep(later_paths(texts, n, threshold, first, last), "later")
+    found, _ = nodes(chains(labelled(more), "paths"), limit, keep)
+    return joined(found, "comps3")
+
+
 def verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
     """(rid, links, other) from (comp, n, rid, copies, text): exact comparison within components, block by block.
 
@@ -247,23 +299,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     ``n_links`` counts the other rows whose Jaccard similarity is ``threshold`` or more, ``class_id`` is the smallest id
     reachable by links, ``kept`` marks one row of each class; ``key`` is the content key over id and text.
     """
-    s = sets(df, doc_id, text, n, threshold, runs_for(recall))
-    folded = stage(s.groupBy("f1", "f2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "folded")
-    reps = s.join(folded.select(F.col("rep").alias("rid"), "copies"), "rid")
-    comps = stage(connected_components(candidate_edges(reps.where("size > 0"), threshold, limit, recall))
-                  .withColumnRenamed("node", "rid").withColumnRenamed("component", "comp"), "candidates")
+    keep = Stages(df.sparkSession)
+    s = keep(sets(df, doc_id, text, n, threshold, runs_for(recall)[0]), "sets")
+    folded = keep(s.groupBy("f1", "f2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "folded")
+    reps = keep(s.where("size > 0").join(folded.select(F.col("rep").alias("rid"), "copies"), "rid")
+                .select("rid", "key", "copies", "size", "sketch", "lead", "paths"), "reps")
+    comps = candidates(df, reps, doc_id, text, n, threshold, limit, recall, keep)
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    members = (s.select("rid", "key").join(folded.select(F.col("rep").alias("rid"), "copies"), "rid")
-               .join(comps, "rid").join(sizes, "comp"))
+    # written, so that Spark knows how few they are before it plans the join with the texts
+    members = keep(reps.select("rid", "key", "copies").join(comps, "rid").join(sizes, "comp"), "candidates")
     texts = df.select(content_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
-    links = stage(verified(texts.join(members, "key").select("comp", "n", "rid", "copies", "text"), n, threshold), "links")
+    links = keep(verified(texts.join(members, "key").select("comp", "n", "rid", "copies", "text"), n, threshold), "links")
     count = links.groupBy("rid").agg(F.sum("links").alias("links"))
-    classes = connected_components(links.where("other is not null"), "rid", "other")
+    classes = connected_components(links.where("other is not null"), "rid", "other", keep=keep)
     each = (folded.join(count, folded.rep == count.rid, "left").drop("rid")
             .join(classes, F.col("rep") == classes.node, "left")
             .select("f1", "f2", F.coalesce("component", "rep").alias("root"),
                     (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     rows = stage(s.select("rid", "key", "doc_id", "f1", "f2").join(each, ["f1", "f2"]), "members")
+    keep.drop()
     first = rows.groupBy("root").agg(
         F.count(F.lit(1)).alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("rid"))).alias("first"))

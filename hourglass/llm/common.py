@@ -25,15 +25,39 @@ def content_key(*cols: Column | str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x01", *parts)))
 
 
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder of ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage, so that what follows can use the rows several times and a lost executor costs a re-read only.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, name)[0]
+
+
+class Stages:
+    """Stage tables that nothing reads once a later table is written: ``drop`` deletes them then, or those given.
+
+    What is left behind reads only tables that stay, so a lost executor is no reason to keep the others.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _written(df, name)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for k in [id(f) for f in frames] if frames else list(self.paths):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(k)[1])
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Stages, stage
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60,
+                         keep: Stages | None = None) -> DataFrame:
     """(node, component) for every node of an edge; ``component`` is the smallest node reachable.
 
-    Null ends and self-loops link nothing.  Nodes without an edge are not in the result.
+    Null ends and self-loops link nothing.  Nodes without an edge are not in the result.  With ``keep`` a round's edges are
+    deleted once the next round's are written, and the last ones are its to drop.
     """
-    now = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    write = keep or stage
+    now = write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                 .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges")
     for _ in range(most_rounds):
         # large star: a node's larger neighbours (those on whose edge it is v) move to its smallest neighbour
@@ -31,10 +34,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         both = large.join(least, "u")
         small = (both.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        new = stage(small, "edges")
+        new = write(small, "edges")
         # done when every node hangs on exactly one node that hangs on none
         state = new.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("nodes")).first()
         chained = new.select(F.col("v").alias("u")).distinct().join(new, "u", "left_semi").limit(1).count()
+        if keep:
+            keep.drop(now)
         now = new
         if state["n"] == state["nodes"] and not chained:
             break
