@@ -88,14 +88,21 @@ def children(tokens: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[n
 
 def paths(tokens: np.ndarray, runs: int, threshold: float, first: int = 0) -> list[tuple]:
     """(p1, p2, p3), signed, for every path of the set through the trees ``first`` to ``runs``; None where a path ends early."""
-    _, a = children(tokens, np.arange(first + 1, runs + 1, dtype=np.uint64), threshold)
+    return [p for _, p in paths_by_run(tokens, runs, threshold, first)]
+
+
+def paths_by_run(tokens: np.ndarray, runs: int, threshold: float, first: int = 0) -> list[tuple[int, tuple]]:
+    """(number of the tree, path) for every path of the set, as ``paths`` has them."""
+    trees, a = children(tokens, np.arange(first + 1, runs + 1, dtype=np.uint64), threshold)
     of_b, b = children(tokens, a, threshold)
     of_c, c = children(tokens, b, threshold)
+    tree = (trees + first + 1).tolist()
     x, y, z = (v.view(np.int64).tolist() for v in (a, b, c))
-    out = [(x[k], None, None) for k in np.setdiff1d(np.arange(len(a)), of_b).tolist()]
-    up = of_b.tolist()
-    out += [(x[up[k]], y[k], None) for k in np.setdiff1d(np.arange(len(b)), of_c).tolist()]
-    out += [(x[up[k]], y[k], last) for k, last in zip(of_c.tolist(), z, strict=True)]
+    up, last = of_b.tolist(), of_c.tolist()
+    below, end = set(up), set(last)
+    out = [(tree[k], (x[k], None, None)) for k in range(len(x)) if k not in below]
+    out += [(tree[up[k]], (x[up[k]], y[k], None)) for k in range(len(y)) if k not in end]
+    out += [(tree[up[k]], (x[up[k]], y[k], p)) for k, p in zip(last, z, strict=True)]
     return out
 
 
@@ -152,8 +159,9 @@ def sets(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, runs:
                     size.append(len(s))
                     low = np.partition(mix(s), SKETCH - 1)[:SKETCH] if len(s) > SKETCH else mix(s)
                     sketch.append(np.unique(low.astype(np.uint32)).tobytes())
-                    lead.append(paths(s, 1, threshold) if len(s) else [])
-                    found.append(paths(s, runs, threshold, 1) if len(s) else [])
+                    drawn = paths_by_run(s, runs, threshold) if len(s) else []
+                    lead.append([p for tree, p in drawn if tree == 1])
+                    found.append([p for tree, p in drawn if tree > 1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rid, pa.int64()), b.column(0), b.column(1), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
                      pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), path_lists(lead), path_lists(found)],
