@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import forest, in_blocks, in_groups
-from .common import Stages, WordHashes, content_key, mix, shingle_hashes, stage
+from .common import Stages, WordHashes, content_key, mix, shingle_hashes, stage, with_likely_keys
 from .components import connected_components
 
 DEPTH, SKETCH, BLOCK = 3, 64, 256
@@ -260,8 +260,8 @@ def candidates(df: DataFrame, reps: DataFrame, doc_id: str, text: str, n: int, t
     found, split = nodes(chains(labelled(reps.select("rid", F.concat("lead", "paths").alias("paths"))), "paths"), limit, keep)
     again = keep(split.select("rid").distinct().join(reps.select("rid", "key"), "rid"), "again")
     comps = joined(found, "comps2")
-    texts = df.select(content_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text")).join(again, "key")
-    more = keep(later_paths(texts, n, threshold, first, last), "later")
+    texts = df.select(content_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
+    more = keep(later_paths(with_likely_keys(texts, again).join(again, "key"), n, threshold, first, last), "later")
     found, _ = nodes(chains(labelled(more), "paths"), limit, keep)
     return joined(found, "comps3")
 
@@ -317,7 +317,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     # written, so that Spark knows how few they are before it plans the join with the texts
     members = keep(reps.select("rid", "key", "copies").join(comps, "rid").join(sizes, "comp"), "candidates")
     texts = df.select(content_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
-    links = keep(verified(texts.join(members, "key").select("comp", "n", "rid", "copies", "text"), n, threshold), "links")
+    links = keep(verified(with_likely_keys(texts, members).join(members, "key").select("comp", "n", "rid", "copies", "text"), n, threshold), "links")
     count = links.groupBy("rid").agg(F.sum("links").alias("links"))
     classes = connected_components(links.where("other is not null"), "rid", "other", keep=keep)
     each = (folded.join(count, folded.rep == count.rid, "left").drop("rid")

@@ -60,6 +60,22 @@ class Stages:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_likely_keys(rows: DataFrame, keys: DataFrame, key: str = "key", bits: int = 1 << 23) -> DataFrame:
+    """``rows`` whose ``key`` may be among those of ``keys``: all that are, and few others while ``keys`` are fewer than bits.
+
+    For the map side of a join with wide rows.  A bitmap of hashed keys goes to every task in pieces of 4 KB; its size, 1 MB
+    for 2**23 bits, doesn't follow the tables.  A full bitmap lets all rows pass, so the join itself must still be done.
+    """
+    slot = lambda: F.pmod(F.xxhash64(key), F.lit(bits)) + F.lit(1)
+    pieces = (keys.select(slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bitmap_piece"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap_bits")))
+    at = F.bitmap_bit_position(slot())
+    byte = F.conv(F.hex(F.substring("bitmap_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(pieces), F.bitmap_bucket_number(slot()) == F.col("bitmap_piece"))
+    return (met.where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+            .drop("bitmap_piece", "bitmap_bits"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

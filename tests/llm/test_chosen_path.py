@@ -1,6 +1,7 @@
 """Chosen-path join and components against brute force, in one block and in many."""
 
 import math
+import os
 import random
 from itertools import combinations
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from hourglass.llm import chosen_path as C
-from hourglass.llm.common import WordHashes, shingle_hashes
+from hourglass.llm.common import Stages, WordHashes, shingle_hashes, with_likely_keys
 from hourglass.llm.components import connected_components
 
 
@@ -139,3 +140,41 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     assert got == {k: find(k) for k in list(root)}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_bitmap_lets_every_key_pass_and_few_others(spark):
+    rows = spark.range(20_000).selectExpr("cast(cast(id as string) as binary) as key", "id", "1 as slot")
+    keys = rows.where("id % 40 = 3")
+    got = {r.id for r in with_likely_keys(rows, keys).collect()}
+    want = set(range(3, 20_000, 40))
+    assert want <= got and len(got - want) < 20
+    assert with_likely_keys(rows, keys, bits=8).count() == 20_000
+    assert with_likely_keys(rows, keys.limit(0)).count() == 0
+
+
+def test_dropped_stages_are_gone(spark):
+    keep = Stages(spark)
+    a, b = keep(spark.range(5), "a"), keep(spark.range(6), "b")
+    paths = [p.removeprefix("file:") for _, p in keep.paths.values()]
+    keep.drop(a)
+    assert b.count() == 6 and list(map(os.path.exists, paths)) == [False, True]
+    keep.drop()
+    assert not os.path.exists(paths[1])
+
+
+def test_copies_known_from_the_first_run_make_no_more_edges(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(300)]
+    rows = []
+    for k in range(300):
+        w = list(base)
+        w[rng.randrange(300)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keep = Stages(spark)
+    s = keep(C.sets(df, "doc_id", "text", 5, 0.8, 11), "sets")
+    chains = lambda label: s.selectExpr("rid", f"{label} as comp", "explode(paths) as c").select("rid", "comp", "c.*")
+    many, _ = C.nodes(chains("rid"), 512, keep)
+    none, _ = C.nodes(chains("0L"), 512, keep)
+    assert C.candidate_edges(many, s, 0.8, 512).count() > 1000 and none.count() == 0
+    assert [r.n_links for r in C.near_duplicates(df).collect()] == [299] * 300
