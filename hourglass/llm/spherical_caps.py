@@ -7,10 +7,12 @@ through the filters.  The height lets a vector into ``per_vector`` filters on av
 the number of vectors, so a filter holds about as many unrelated vectors at any size.  ``codes`` independent rotations
 are used.
 
-1. One map writes each vector's double values, its filters and a ``SIGNS``-bit sign sketch.  Equal vectors are folded into
-   one representative with a number of copies.
-2. Vectors that share a filter are compared by sketch, which gives a spanning forest for each filter, never its pairs.
-   Filters with more than ``limit`` vectors are compared in pairs of blocks.
+1. One map writes each vector's double values, its filters and its components rounded to a byte each.  Equal vectors are
+   folded into one representative with a number of copies.
+2. Vectors that share a filter are compared by their bytes, which gives a spanning forest for each filter, never its pairs.
+   The bytes bound the angle to the vector itself, so no linked pair is passed over, and what else passes lies within the
+   rounding of the threshold: unrelated vectors make no components.  Filters with more than ``limit`` vectors are compared
+   in pairs of blocks.
 3. The forests' components are verified exactly, cosine in double precision, in pairs of blocks: links are counted, and
    the components of the true links are the classes.
 
@@ -35,7 +37,7 @@ from .blocks import forest, in_blocks, in_groups
 from .common import stage
 from .components import connected_components
 
-BLOCKS, SIGNS, BLOCK = 3, 128, 512
+BLOCKS, BLOCK = 3, 512
 
 
 def cap(d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +92,27 @@ def code(d: int, filters: int, per_vector: float, threshold: float, seed: int) -
     return Code(d, filters, per_vector, threshold, seed)
 
 
-@lru_cache(maxsize=16)
-def planes(d: int) -> np.ndarray:
-    return np.random.default_rng([99, d]).normal(size=(d, SIGNS))
+def rounded(unit: np.ndarray) -> np.ndarray:
+    """Rows scaled so that the largest component is 127, as bytes."""
+    return np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)
+
+
+def may_link(q: np.ndarray, threshold: float) -> np.ndarray:
+    """Matrix of the pairs whose vectors may reach the threshold, from their rounded rows: all that do are among them.
+
+    Rounding moves a row of length ``r`` by at most sqrt(d) / 2, which turns it by the arc sine of sqrt(d) / 2r at most.
+    """
+    x = q.astype(np.float64)
+    length = np.linalg.norm(x, axis=1)
+    x /= length[:, None]
+    turn = np.arcsin(np.minimum(1.0, np.sqrt(q.shape[1]) / (2 * length)))
+    most = np.arccos(threshold) + turn[:, None] + turn[None, :] + 1e-6
+    return x @ x.T >= np.cos(np.minimum(most, np.pi)) - 1e-9
 
 
 def described(df: DataFrame, vec_id: str, vector: str, filters: int, per_vector: float, threshold: float,
               codes: int) -> DataFrame:
-    """(rid, vec_id, f1, f2, d, vector, signs, filters) of every row; d is 0 for vectors that link with nothing."""
+    """(rid, vec_id, f1, f2, d, vector, bytes, filters) of every row; d is 0 for vectors that link with nothing."""
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     kind = rows.schema["vec_id"].dataType.simpleString()
     signed = lambda v: v - (1 << 64) if v >> 63 else v
@@ -117,45 +132,42 @@ def described(df: DataFrame, vec_id: str, vector: str, filters: int, per_vector:
                 done += len(vectors)
                 f = [xxhash.xxh128_intdigest(x.tobytes()) if x is not None else r for x, r in zip(vectors, rid, strict=True)]
                 found: list = [[] for _ in vectors]
-                signs: list = [b""] * len(vectors)
+                small: list = [b""] * len(vectors)
                 for d in {len(x) for x in vectors if x is not None}:
                     own = [k for k, x in enumerate(vectors) if x is not None and len(x) == d]
                     unit = np.array([vectors[k] for k in own])
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    packed = np.packbits(unit @ planes(d) > 0, axis=1)
                     for seed in range(codes):
                         for k, numbers in zip(own, code(d, filters, per_vector, threshold, seed).decode(unit), strict=True):
                             found[k] += [signed(xxhash.xxh64_intdigest(b"%d,%d,%d" % (d, seed, n))) for n in numbers.tolist()]
-                    for k, s in zip(own, packed, strict=True):
-                        signs[k] = s.tobytes()
+                    for k, q in zip(own, rounded(unit), strict=True):
+                        small[k] = q.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rid, pa.int64()), b.column(0), pa.array([signed(x >> 64) if v is not None else -1 for x, v in zip(f, vectors, strict=True)], pa.int64()),
                      pa.array([signed(x & ((1 << 64) - 1)) for x in f], pa.int64()),
                      pa.array([0 if x is None else len(x) for x in vectors], pa.int64()),
-                     pa.array([b"" if x is None else x.tobytes() for x in vectors], pa.binary()), pa.array(signs, pa.binary()),
+                     pa.array([b"" if x is None else x.tobytes() for x in vectors], pa.binary()), pa.array(small, pa.binary()),
                      pa.array(found, pa.list_(pa.int64()))],
-                    ["rid", "vec_id", "f1", "f2", "d", "vector", "signs", "filters"])
+                    ["rid", "vec_id", "f1", "f2", "d", "vector", "bytes", "filters"])
 
     return stage(rows.mapInArrow(run, f"rid bigint, vec_id {kind}, f1 bigint, f2 bigint, d bigint, vector binary, "
-                                      "signs binary, filters array<bigint>"), "vectors")
+                                      "bytes binary, filters array<bigint>"), "vectors")
 
 
-def sketch_edges(reps: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """(a, b): spanning forests of the vectors of a filter whose sign sketches agree."""
+def candidate_edges(reps: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """(a, b): spanning forests of the vectors of a filter that may be linked."""
     here = reps.select("rid", F.explode("filters").alias("node"))  # a vector lists a filter once
     count = stage(here.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "caps")
-    found = here.join(count, "node").join(reps.select("rid", "signs"), "rid")
-    rows = in_blocks(found, "n", "rid", limit).select("node", "b1", "b2", "rid", "signs")
-    turn = np.arccos(threshold) / np.pi  # chance that a random plane parts two vectors at the threshold
-    most = SIGNS * turn + 5 * np.sqrt(SIGNS * turn * (1 - turn))
+    found = here.join(count, "node").join(reps.select("rid", "bytes"), "rid")
+    rows = in_blocks(found, "n", "rid", limit).select("node", "b1", "b2", "rid", "bytes")
 
     def compare(c: dict) -> Iterator[tuple[int, int]]:
         ids = c["rid"].to_numpy()
         if len(ids) < 2:
             return
-        bits = np.unpackbits(np.frombuffer(b"".join(c["signs"].to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)
-        s = bits.astype(np.float32) * 2 - 1
-        yield from forest((SIGNS - s @ s.T) / 2 <= most, ids)
+        # one length: it parts the filters
+        q = np.frombuffer(b"".join(c["bytes"].to_pylist()), np.int8).reshape(len(ids), -1)
+        yield from forest(may_link(q, threshold), ids)
 
     return in_groups(rows, ["node", "b1", "b2"], "a bigint, b bigint", compare)
 
@@ -193,7 +205,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     v = described(df, vec_id, vector, filters, per_vector, threshold, codes)
     folded = stage(v.groupBy("f1", "f2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "folded")
     reps = v.join(folded.select(F.col("rep").alias("rid"), "copies"), "rid").where("d > 0")
-    comps = stage(connected_components(sketch_edges(reps, threshold, limit))
+    comps = stage(connected_components(candidate_edges(reps, threshold, limit))
                   .withColumnRenamed("node", "rid").withColumnRenamed("component", "comp"), "candidates")
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     members = reps.select("rid", "copies", "vector").join(comps, "rid").join(sizes, "comp")

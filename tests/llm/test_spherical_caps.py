@@ -88,3 +88,23 @@ def test_list_decoding_is_complete():
         want = np.flatnonzero(full.ravel() >= c.height)
         assert set(want) == set(got) or (not len(want) and got[0] == full.argmax())
         assert got.max() < w ** 3
+
+
+def test_rounded_vectors_miss_no_link():
+    rng = np.random.default_rng(4)
+    for d in (1, 2, 7, 64, 300):
+        x = rng.normal(size=(200, d)) ** rng.choice([1, 3, 9], size=(200, 1))  # some with one large component
+        x = np.concatenate([x, x + 0.45 * np.linalg.norm(x, axis=1, keepdims=True) * rng.normal(size=(200, d)) / np.sqrt(d)])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        linked = x @ x.T >= 0.9
+        assert not (linked & ~S.may_link(S.rounded(x), 0.9)).any()
+
+
+def test_unrelated_vectors_make_no_components(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x = np.concatenate([x, x[:20] + 0.1 * rng.normal(size=(20, 64))])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    v = S.described(df, "vec_id", "embedding", len(x), 24, 0.9, 5)
+    groups = S.connected_components(S.candidate_edges(v, 0.9, 2048)).groupBy("component").count().collect()
+    assert sorted(r["count"] for r in groups) == [2] * 20
