@@ -9,12 +9,14 @@ candidate surface (an instance) hangs on the patterns it occurs in.  Over this g
   accepted instances support it;
 * an instance is accepted if it is a seed, or one of its patterns has a confidence of ``confidence`` or more.
 
-Until nothing is added (``rounds`` at most, a parameter), and the occurrences of accepted instances in such patterns
-become spans, unless a span of their kind overlaps them.  Base spans always stay.
+Until nothing is added, however long the chain, and the occurrences of accepted instances in such patterns become spans,
+unless a span of their kind overlaps them.  Base spans always stay.  (``most_rounds`` is far beyond any chain; an error is
+raised there rather than spans left out.)
 
 The graph is summed to (kind, instance, pattern) counts before any round, patterns are scored by grouped sums, and a hot
 context word is a partial sum in each map task.  Places come from the lengths of the pieces between matches, by a window
-over one document's matches; only context words and lengths leave the map side, never texts.
+over one document's matches; only context words and lengths leave the map side, never texts.  Context words are whole
+words; one of more than ``LONG`` characters is named by its SHA-256, so that its size is bounded.
 
 Defined results: a null or empty text has no spans; repeated rows are searched one by one with the same result; a text of
 any length is searched whole; an empty table gives an empty result; other columns are not read.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import content_key, stage
 
 KINDS = ("email", "ip", "card", "phone")
+LONG = 64
 # The patterns of the contract.  Their runs are made possessive and start where a run starts (or where the
 # last match ended), which finds the same matches in time linear in the text.
 BASE = {
@@ -39,8 +42,8 @@ BASE = {
 # What an identifier of each kind that the fixed pattern misses may look like: obscured or partial addresses, groups of
 # digits with other separators, numbers without the plus sign.
 LOOSE = {
-    "email": r"(?<![^\s<(\[])[A-Za-z0-9._%+-]{2,64}+(?:\x20?[\[(]at[\])]\x20?|@)[A-Za-z0-9-]{2,64}+"
-             r"(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]{2,64}+)*+",
+    "email": r"(?<![^\s<(\[])[A-Za-z0-9._%+-]++(?:\x20?[\[(]at[\])]\x20?|@)[A-Za-z0-9-]++"
+             r"(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]++)*+",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
@@ -78,6 +81,13 @@ def passes(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def _next_word(gap: Column, backwards: bool) -> Column:
+    """The word of ``gap`` next to a match, in lower case; the search is anchored, so it is linear in the text."""
+    word = F.regexp_extract(F.reverse(gap) if backwards else gap, r"^\s*+(\S++)", 1)
+    word = F.lower(F.reverse(word) if backwards else word)
+    return F.when(F.length(word) <= LONG, word).otherwise(F.sha2(word, 256))
+
+
 def _matches(text: Column, pattern: str, might: Column) -> Column:
     """Array of (gap, size, surface, before, after) for each match: the lengths of the text before it since the last match
     and of itself, itself, and the words next to it.  ``might`` is a cheap test that texts without matches fail."""
@@ -85,8 +95,7 @@ def _matches(text: Column, pattern: str, might: Column) -> Column:
     gaps = F.split(text, pattern, -1)
     row = F.transform(found, lambda s, i: F.struct(
         F.length(F.get(gaps, i)).alias("gap"), F.length(s).alias("size"), s.alias("surface"),
-        F.lower(F.regexp_extract(F.right(F.get(gaps, i), F.lit(64)), r"(\S+)\s*$", 1)).alias("before"),
-        F.lower(F.regexp_extract(F.left(F.get(gaps, i + 1), F.lit(64)), r"^\s*(\S+)", 1)).alias("after")))
+        _next_word(F.get(gaps, i), True).alias("before"), _next_word(F.get(gaps, i + 1), False).alias("after")))
     empty = F.array().cast("array<struct<gap:int,size:int,surface:string,before:string,after:string>>")
     return F.when(might, row).otherwise(empty)
 
@@ -139,9 +148,12 @@ def instance(kind: Column, surface: Column) -> Column:
     return F.when(kind.isin("card", "phone"), _digits(surface)).otherwise(F.lower(surface))
 
 
-def bootstrap(seeds: DataFrame, candidates: DataFrame, rounds: int = 4, support: int = 5,
-              confidence: float = 0.9) -> DataFrame:
-    """(kind, instance, pattern) of the graph whose instance is accepted and whose pattern is confident at the end."""
+def bootstrap(seeds: DataFrame, candidates: DataFrame, support: int = 5, confidence: float = 0.9,
+              most_rounds: int = 1000) -> DataFrame:
+    """(kind, instance, pattern) of the graph whose instance is accepted and whose pattern is confident at the end.
+
+    Accepted instances only grow in number, hence so do the patterns' scores, and the rounds come to an end.
+    """
     def graph(o: DataFrame, seed: bool) -> DataFrame:
         return (o.select("kind", instance(F.col("kind"), F.col("surface")).alias("instance"),
                          F.explode(_patterns()).alias("pattern"))
@@ -151,8 +163,8 @@ def bootstrap(seeds: DataFrame, candidates: DataFrame, rounds: int = 4, support:
                   .groupBy("kind", "instance", "pattern").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")), "graph")
     # the surfaces of seeds count as seeds wherever they stand; only patterns of seeds can ever be confident at first
     accepted = stage(edges.where("seed").select("kind", "instance").distinct(), "accepted")
-    confident = None
-    for _ in range(rounds):
+    have = accepted.count()
+    for _ in range(most_rounds):
         known = edges.join(accepted.withColumn("good", F.lit(1)), ["kind", "instance"], "left")
         scored = (known.groupBy("kind", "pattern")
                   .agg(F.sum(F.when(F.col("good") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum("n").alias("all"),
@@ -161,15 +173,17 @@ def bootstrap(seeds: DataFrame, candidates: DataFrame, rounds: int = 4, support:
                           .select("kind", "pattern"), "patterns")
         more = stage(edges.join(confident, ["kind", "pattern"]).select("kind", "instance").unionByName(accepted).distinct(),
                      "accepted")
-        grown = more.count() > accepted.count()
-        accepted = more
-        if not grown:
+        now = more.count()
+        if now == have:
             break
+        accepted, have = more, now
+    else:
+        raise RuntimeError(f"the bootstrap still grows after {most_rounds} rounds")
     return edges.where("not seed").join(confident, ["kind", "pattern"]).select("kind", "instance", "pattern").distinct()
 
 
-def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 4, support: int = 5,
-             confidence: float = 0.9) -> DataFrame:
+def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = 5, confidence: float = 0.9,
+             most_rounds: int = 1000) -> DataFrame:
     """(doc_id, key, spans, found): ``spans`` are (kind, start, end, surface, base) sorted by kind as listed, then start.
 
     ``found`` is the same without what the bootstrap added.  ``start`` and ``end`` count code points, ``end`` exclusive.
@@ -183,7 +197,7 @@ def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
     fresh = loose.join(taken, (loose.key == taken.key) & (loose.kind == taken.kind) & (loose.start < taken.e)
                        & (taken.s < loose.end), "left_anti")
     fresh = stage(fresh, "fresh")
-    good = bootstrap(seeds, fresh, rounds, support, confidence)
+    good = bootstrap(seeds, fresh, support, confidence, most_rounds)
     added = (fresh.withColumn("instance", instance(F.col("kind"), F.col("surface"))).withColumn("pattern", F.explode(_patterns()))
              .join(good, ["kind", "instance", "pattern"], "left_semi").select("key", "kind", "start", "end", "surface").distinct())
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))

@@ -79,3 +79,22 @@ def test_bootstrap_discovers_from_context(spark):
     assert added[200] == [("phone", "(042) 777 1234")]
     assert added[500] == [("email", "ann [at] mail [dot] example [dot] com")]
     assert not any(added[d] for d in list(range(40)) + list(range(300, 330)) + list(range(400, 420)))
+
+
+def test_bootstrap_follows_long_chains_and_whole_words(spark):
+    """Each context is known from the numbers that the one before found: nine rounds; context words differ after 64 characters."""
+    number = lambda c, k: f"({c:03d}) 5{k:02d} 12{k:02d}"
+    rows = [(k, f"ring0 +1 {k:03d} 555 {k:04d} now0") for k in range(8)]
+    rows += [(50 + k, f"ring0 {number(1, k)} now0") for k in range(6)]
+    for c in range(1, 9):  # the numbers of context c stand in context c + 1 too, beside new ones
+        rows += [(1000 * c + k, f"ring{c} {number(c, k)} now{c}") for k in range(6)]
+        rows += [(1000 * c + 100 + k, f"ring{c} {number(c + 1, k)} now{c}") for k in range(6)]
+    long = "x" * 80
+    rows += [(20000 + k, f"{long}a +1 {k:03d} 666 {k:04d} {long}c") for k in range(8)]
+    rows += [(20100, f"{long}a (777) 666 1234 {long}c"), (20200, f"{long}b (777) 666 4321 {long}d")]
+    rows += [(30000 + k, f"mail m{k}@h.example.org here") for k in range(8)] + [(30100, "mail q [at] h [dot] x here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    added = {r.doc_id: [s["surface"] for s in r.spans if not s["base"]] for r in find_pii(df, confidence=0.5).collect()}
+    assert all(added[1000 * 8 + 100 + k] == [number(9, k)] for k in range(6))
+    assert added[20100] == ["(777) 666 1234"] and added[20200] == []
+    assert added[30100] == ["q [at] h [dot] x"]
