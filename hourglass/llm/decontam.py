@@ -6,11 +6,12 @@ some offset, a window of ``WINDOW`` words agrees in all but ``SUBSTITUTIONS`` of
 there (a test runs through all cases), so no leak is missed.  Test and training hashes are joined, hits that lie on one
 diagonal (document, item, offset) are one candidate, and each candidate is verified word by word around its hits.
 
-Items of ``MIN_WORDS`` to 12 words are sought whole and unchanged, through one mask of their own length; shorter ones are
-too common to be a leak and are not sought.
+Shorter items are sought whole: those of ``SHORT`` to 12 words with one word replaced at most, through three masks that
+pick 6 of up to 8 neighbouring words and miss none of them (tested likewise), those of 1 to 7 words unchanged, through a mask
+of their own length.
 
 A document's positions are first tested against a bitmap of the benchmark's hashes, by the pair of words that begins every
-mask and then by the masks.  Its size is fixed (2**22 bits), so
+mask (but that of a single word) and then by the masks.  Its size is fixed (2**22 bits), so
 the literal in the plan is too, however large the benchmark; a full bitmap would only let more rows into the join.
 Only positions that pass leave the map side, as (key, position, hash); documents meet their candidates by content key.
 
@@ -21,14 +22,17 @@ gives an empty result; other columns are neither read nor needed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import content_key, stage
 
-WINDOW, SUBSTITUTIONS, MIN_WORDS = 13, 2, 5
+WINDOW, SUBSTITUTIONS, SHORT = 13, 2, 8
 PAIR = (0, 1)
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 7, 8))
+SHORT_MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3, 6, 7))
 BITS = 22
 
 
@@ -48,9 +52,10 @@ def _starts(words: Column, mask: tuple[int, ...]) -> Column:
     return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
 
 
-def _all_masks() -> dict[int, tuple[int, ...]]:
-    """Number -> mask: the spaced ones under 0 and 1, the whole-item mask of n words under n."""
-    return dict(enumerate(MASKS)) | {n: tuple(range(n)) for n in range(MIN_WORDS, WINDOW)}
+def _all_masks() -> list[tuple[int, int, tuple[int, ...]]]:
+    """(least words, most words, mask): which items each mask seeks."""
+    whole = [(n, n, tuple(range(n))) for n in range(1, SHORT)]
+    return whole + [(SHORT, WINDOW - 1, m) for m in SHORT_MASKS] + [(WINDOW, 1 << 30, m) for m in MASKS]
 
 
 def _seeds(words: Column, k: int, mask: tuple[int, ...]) -> Column:
@@ -84,16 +89,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     is the document's content key over id and text.
     """
     items = (benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("item"))
-             .where(F.size("item") >= MIN_WORDS).groupBy("item").agg(F.min("item_id").alias("item_id")))
+             .where(F.size("item") > 0).groupBy("item").agg(F.min("item_id").alias("item_id")))
     items = stage(items.withColumn("n", F.size("item")), "benchmark")
-    masks = _all_masks()
-    lengths = {r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect()}  # 8 at most
-    used = {k: m for k, m in masks.items() if k in (0, 1) or k in lengths}
-    parts = [items.where(F.col("n") >= WINDOW if k in (0, 1) else F.col("n") == k)
-             .select("item", "item_id", "n", F.explode(_seeds(F.col("item"), k, m)).alias("s")) for k, m in used.items()]
-    seeds = parts[0]
-    for p in parts[1:]:
-        seeds = seeds.unionByName(p)
+    kinds = items.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()  # 13 at most
+    used = {k: (lo, hi, m) for k, (lo, hi, m) in enumerate(_all_masks())
+            if any(min(lo, WINDOW) <= r["n"] <= min(hi, WINDOW) for r in kinds)}
+    if not used:  # no benchmark: a mask that finds nothing keeps the plan alike
+        used = {0: _all_masks()[0]}
+    seeds = reduce(DataFrame.unionByName, [
+        items.where(F.col("n").between(lo, hi)).select("item", "item_id", "n", F.explode(_seeds(F.col("item"), k, m)).alias("s"))
+        for k, (lo, hi, m) in used.items()])
     seeds = stage(seeds.select("item_id", F.xxhash64("item").alias("item_key"), F.col("s.pos").alias("item_pos"),
                                F.col("s.seed").alias("seed")), "seeds")
     pairs = items.select(F.explode(_pairs(F.col("item"))).alias("seed"))
@@ -109,15 +114,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     tokens = rows.select("key", word_hashes(F.col("text")).alias("words"))
     w = F.col("words")
 
-    # every mask begins with two neighbours: positions whose pair the benchmark doesn't have go before the masks are tried
+    # longer masks begin with two neighbours: positions whose pair the benchmark doesn't have go before the masks are tried
     tokens = tokens.withColumn("at", F.filter(_starts(w, PAIR), lambda i: known(_seed(w, i, -1, PAIR))))
 
     def passing(k: int, m: tuple[int, ...]) -> Column:
-        at = F.filter("at", lambda i: (i + F.lit(m[-1]) < F.size(w)) & known(_seed(w, i, k, m)))
+        at = F.filter("at" if len(m) > 1 else _starts(w, m), lambda i: (i + F.lit(m[-1]) < F.size(w)) & known(_seed(w, i, k, m)))
         return F.transform(at, lambda i: F.struct(i.alias("pos"), _seed(w, i, k, m).alias("seed")))
 
     # no filter on ``at``: the optimiser would push it down and compute the words anew for every position
-    hits = (tokens.select("key", F.explode(F.concat(*[passing(k, m) for k, m in used.items()])).alias("h"))
+    hits = (tokens.select("key", F.explode(F.concat(*[passing(k, m) for k, (_, _, m) in used.items()])).alias("h"))
             .select("key", F.col("h.pos").alias("pos"), F.col("h.seed").alias("seed"))
             .join(seeds, "seed")
             .select("key", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
@@ -134,7 +139,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     scored = cut.select("key", "doc_id", "item_id", "n", (F.col("first") + F.col("shift")).alias("doc_start"),
                         same.alias("same"))
     length = F.least(F.lit(WINDOW), F.col("n"))
-    least = length - F.when(F.col("n") >= WINDOW, F.lit(SUBSTITUTIONS)).otherwise(F.lit(0))
+    least = length - F.when(F.col("n") >= WINDOW, F.lit(SUBSTITUTIONS)).when(F.col("n") >= SHORT, F.lit(1)).otherwise(F.lit(0))
     windows = F.when(F.size("same") >= length, F.sequence(F.lit(1), F.size("same") - length + 1)).otherwise(
         F.array().cast("array<int>"))
     leak = F.exists(windows, lambda i: F.aggregate(F.slice("same", i, length), F.lit(0), lambda a, x: a + x) >= least)

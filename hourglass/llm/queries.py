@@ -135,12 +135,12 @@ b AS (
   SELECT min(item_id) AS item_id, w, len(w) AS n
   FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
         FROM benchmark WHERE text IS NOT NULL)
-  GROUP BY w HAVING len(w) >= 5),
+  GROUP BY w HAVING len(w) >= 1),
 dw AS (SELECT doc_id, len(w) AS dn, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
 bw AS (SELECT item_id, n, unnest(w) AS word, unnest(range(n)) AS j FROM b),
 m AS (
   SELECT doc_id, dn, item_id, n, pos - j AS shift, j,
-         least(n, 13) AS len, CASE WHEN n >= 13 THEN 11 ELSE n END AS need
+         least(n, 13) AS len, CASE WHEN n >= 13 THEN 11 WHEN n >= 8 THEN n - 1 ELSE n END AS need
   FROM dw JOIN bw USING (word)),
 g AS (
   SELECT doc_id, item_id, shift, any_value(len) AS len, any_value(need) AS need, count(*) AS n_matched,

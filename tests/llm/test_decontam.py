@@ -4,12 +4,18 @@ import itertools
 import random
 import re
 
-from hourglass.llm.decontam import MASKS, MIN_WORDS, SUBSTITUTIONS, WINDOW, drop_leaks, find_leaks
+import duckdb
+
+from hourglass.llm.decontam import MASKS, SHORT, SHORT_MASKS, SUBSTITUTIONS, WINDOW, drop_leaks, find_leaks
+from hourglass.llm.queries import OP5_SQL
 
 
 def test_masks_are_lossless():
     for gone in itertools.combinations(range(WINDOW), SUBSTITUTIONS):
         assert any(not {at + o for o in mask} & set(gone) for mask in MASKS for at in range(WINDOW - mask[-1]))
+    for n in range(SHORT, WINDOW):
+        for p in range(n):
+            assert any(p not in {at + o for o in mask} for mask in SHORT_MASKS for at in range(n - mask[-1]))
 
 
 def words(t):
@@ -19,14 +25,14 @@ def words(t):
 def brute(docs, items):
     first = {}
     for i, t in items:
-        if len(words(t)) >= MIN_WORDS:
+        if words(t):
             first[tuple(words(t))] = min(first.get(tuple(words(t)), i), i)
     out = set()
     for d, t in docs:
         w = words(t)
         for b, i in first.items():
             length = min(WINDOW, len(b))
-            need = length - (SUBSTITUTIONS if len(b) >= WINDOW else 0)
+            need = length - (SUBSTITUTIONS if len(b) >= WINDOW else 1 if len(b) >= 8 else 0)
             for shift in range(-len(b) + 1, len(w)):
                 lo, hi = max(0, -shift), min(len(b), len(w) - shift)
                 same = [b[j] == w[j + shift] for j in range(lo, hi)]
@@ -66,6 +72,31 @@ def test_matches_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, _ in docs if k not in leaky)
 
 
+def test_short_items(spark):
+    """One word of an item of 8 to 12 words may be replaced, whichever; shorter items are found unchanged only."""
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in (1, 2, 5, 7, 8, 10, 12)]
+    docs, want = [], set()
+    for n, t in items:
+        w = t.split()
+        docs.append((1000 * n, " ".join(["und", *w, "so"])))
+        want.add((1000 * n, n))
+        for p in range(n):
+            docs.append((1000 * n + 1 + p, " ".join(["a", *w[:p], "zz", *w[p + 1:], "b"])))
+            if n >= 8:
+                want.add((1000 * n + 1 + p, n))
+        if n >= 8:
+            docs.append((1000 * n + 500, " ".join(["zz", "yy", *w[2:]])))  # two replaced
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = find_leaks(d, b).drop("key")
+    assert {(r.doc_id, r.item_id) for r in rows.collect()} == want == brute(docs, items)
+    db = duckdb.connect()
+    db.register("documents", d.toPandas())
+    db.register("benchmark", b.toPandas())
+    sql = db.sql(OP5_SQL)
+    assert sorted(map(tuple, rows.select(*sql.columns).collect())) == sorted(sql.fetchall())
+
+
 def test_empty_tables(spark):
     docs, items = make()
     d = spark.createDataFrame(docs, "doc_id long, text string")
