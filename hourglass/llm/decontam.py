@@ -154,6 +154,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that leak a benchmark item; all columns stay."""
-    leaks = find_leaks(docs, benchmark, doc_id, text).select("key").distinct()
+    leaks = stage(find_leaks(docs, benchmark, doc_id, text).select("key").distinct(), "leaks")  # few: Spark then knows it
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), content_key(doc_id, text).alias("key"))
     return rows.join(leaks, "key", "left_anti").select("row.*")
