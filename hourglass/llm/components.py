@@ -36,12 +36,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         new = write(small, "edges")
         # done when every node hangs on exactly one node that hangs on none
-        state = new.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("nodes")).first()
-        chained = new.select(F.col("v").alias("u")).distinct().join(new, "u", "left_semi").limit(1).count()
+        ends = (new.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+                .unionByName(new.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        left = (ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+                .where((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).limit(1).count())
         if keep:
             keep.drop(now)
         now = new
-        if state["n"] == state["nodes"] and not chained:
+        if not left:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
