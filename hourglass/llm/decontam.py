@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, stage
+from .common import content_key, stage, with_likely_keys
 
 WINDOW, SUBSTITUTIONS, SHORT = 13, 2, 8
 PAIR = (0, 1)
@@ -128,7 +128,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
             .select("key", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     hits = stage(hits, "hits")  # few or many: Spark then knows their size when it plans the join with the texts
     best = (hits.join(items.select("item", "item_id", "n", F.xxhash64("item").alias("item_key")), ["item_id", "item_key"])
-            .join(rows, "key"))
+            .join(with_likely_keys(rows, hits), "key"))
     # the words of the document that the item covers, cut out before anything else is done with the row
     first = F.greatest(F.lit(0), -F.col("shift"))
     cut = best.select("key", "doc_id", "item_id", "n", "shift", first.alias("first"),
