@@ -8,8 +8,9 @@ aren't taken for toxic ones.  An L1 penalty keeps the model to the words that ma
 doesn't add up.  Fitting is an accelerated proximal gradient descent in numpy; margins become scores by Platt's sigmoid.
 
 Fitting takes at most ``max_rows`` labelled documents (smallest hashes of their ids, one row for each id) as feature
-indices to the driver; a document gives at most ``MENTIONS`` changed sentences to the penalty.  Scoring is a map over
-all rows and whole texts with one table of 2**bits weights as broadcast.
+indices to the driver.  All sentences of their whole texts count in the penalty; equal changes are counted on Spark, so the
+driver gets each change of a sentence's features once, however many sentences and texts it stands in.  Scoring is a map
+over all rows and whole texts with one table of 2**bits weights as broadcast.
 
 Defined results: a null or empty text gets the score of the bias alone; a document with several labels counts with
 their majority (a tie is 1), one with several texts with the least of them; null labels are left out; with one class
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, stage
 from .nbsvm import platt
 
 BITS = 20
@@ -98,13 +99,14 @@ def swaps(sentence: str, groups: list[list[str]] = IDENTITY_GROUPS) -> Iterator[
 
 
 def counterfactuals(text: str | None, hashes: Hashes, groups: list[list[str]] = IDENTITY_GROUPS,
-                    bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(indices lost, indices gained) of the swapped sentences of a text, ``MENTIONS`` sentences at most."""
+                    bits: int = BITS, most: int | None = MENTIONS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices lost, indices gained) of the swapped sentences of a text: of all of them if ``most`` is None, which is
+    what ``fit`` asks for, or of the first ``most`` for a look at a text."""
     out = []
     every = {w for g in groups for w in g}
     seen = 0
     for sentence in SENTENCES.split(text) if text else ():
-        if seen == MENTIONS or every.isdisjoint(words(sentence)):
+        if seen == most or every.isdisjoint(words(sentence)):
             continue
         seen += 1
         old = features(sentence, hashes, bits)
@@ -145,6 +147,12 @@ class Sparse:
         return np.bincount(self.at, v[self.row] * self.value, self.width)
 
 
+def moves(changes: list[tuple[np.ndarray, np.ndarray]], width: int) -> Sparse:
+    """(indices lost, indices gained) as rows of -1 and 1."""
+    return Sparse([np.concatenate(c) for c in changes],
+                  [np.concatenate((-np.ones(len(a)), np.ones(len(b)))) for a, b in changes], width)
+
+
 def descend(x: Sparse, y: np.ndarray, share: np.ndarray, changes: Sparse, fairness: float, l1: float, l2: float,
             steps: int = 250) -> tuple[np.ndarray, float]:
     """Weights and bias of least loss: logistic, + fairness * mean squared change + l1 |w| + l2 |w|^2 / 2."""
@@ -179,9 +187,10 @@ def descend(x: Sparse, y: np.ndarray, share: np.ndarray, changes: Sparse, fairne
     return w, float(b)
 
 
-def fit_rows(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], bits: int = BITS,
-             fairness: float = 10.0, l1: float = 1e-3, l2: float = 1e-3, least: int = 3) -> Model:
-    """Fit on feature rows, 0/1 labels and the (lost, gained) indices of swapped sentences.
+def fit_rows(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]] | Sparse, bits: int = BITS,
+             fairness: float = 10.0, l1: float = 1e-3, l2: float = 1e-3, least: int = 3, times: np.ndarray | None = None) -> Model:
+    """Fit on feature rows, 0/1 labels and the (lost, gained) indices of swapped sentences, as pairs or ``moves`` of them.
+    ``times``: how often each change occurs, once if not given.
 
     Features of fewer than ``least`` rows are left out, but for those that a swap moves.  Every fifth row of each class
     is held back for the sigmoid.
@@ -195,10 +204,12 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarr
     known[often] = np.arange(often.sum())
     width = int(often.sum())
     small = [known[x][often[x]] for x in rows]
-    lost = [known[a][often[a]] for a, _ in changes]
-    gained = [known[b][often[b]] for _, b in changes]
-    moved = Sparse([np.concatenate(ab) for ab in zip(lost, gained, strict=True)],
-                   [np.concatenate((-np.ones(len(a)), np.ones(len(b)))) for a, b in zip(lost, gained, strict=True)], width)
+    moved = changes if isinstance(changes, Sparse) else moves(changes, 1 << bits)
+    if times is not None:  # the mean over all occurrences
+        fairness *= moved.rows / max(times.sum(), 1)
+        moved.value = moved.value * np.sqrt(times)[moved.row]
+    here = often[moved.at]
+    moved.at, moved.row, moved.value, moved.width = known[moved.at[here]], moved.row[here], moved.value[here], width
 
     def machine(keep: np.ndarray) -> tuple[np.ndarray, float]:
         t = y[keep]
@@ -228,22 +239,40 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "d
     marked = (ids.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
               .select("text", "y"))
 
+    marked = stage(marked, "toxicity")
+
     def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        pair = pa.list_(pa.list_(pa.int32()))
         for b in batches:
-            texts = b.column(0).to_pylist()
-            changed = [counterfactuals(t, hashes, groups, bits) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([features(t, hashes, bits).astype(np.int32) for t in texts], pa.list_(pa.int32())),
-                 pa.array([[x.tolist() for x, _ in c] for c in changed], pair),
-                 pa.array([[x.tolist() for _, x in c] for c in changed], pair), b.column(1)], ["x", "lost", "gained", "y"])
-
-    got = marked.mapInArrow(indices, "x array<int>, lost array<array<int>>, gained array<array<int>>, y int").toArrow()
-    changes = [(np.array(a, np.int64), np.array(b, np.int64))
-               for lost, gained in zip(got["lost"].to_pylist(), got["gained"].to_pylist(), strict=True)
-               for a, b in zip(lost, gained, strict=True)]
-    return fit_rows([np.asarray(x.values, np.int64) for x in got["x"]], got["y"].to_numpy(), changes, bits, fairness)
+            x = pa.array([features(t.as_py(), hashes, bits).astype(np.int32) for t in b.column(0)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([x, b.column(1)], ["x", "y"])
+
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held = Hashes(), pa.list_(pa.int32())
+        for b in batches:
+            for t in b.column(0):
+                found = counterfactuals(t.as_py(), hashes, groups, bits, None)
+                yield pa.RecordBatch.from_arrays([pa.array([c[k].astype(np.int32) for c in found], held) for k in (0, 1)],
+                                                 ["lost", "gained"])
+
+    got = marked.mapInArrow(indices, "x array<int>, y int").toArrow()
+    folded = (marked.select("text").mapInArrow(changed, "lost array<int>, gained array<int>")
+              .groupBy("lost", "gained").agg(F.count(F.lit(1)).alias("n")).toArrow().combine_chunks())
+    rows = [np.asarray(x.values, np.int64) for x in got["x"]]
+    return fit_rows(rows, got["y"].to_numpy(), _moves_of(folded, 1 << bits), bits, fairness, times=folded["n"].to_numpy())
+
+
+def _moves_of(table: pa.Table, width: int) -> Sparse:
+    """``moves`` of the columns ``lost`` and ``gained``."""
+    out = Sparse([], None, width)
+    out.rows = table.num_rows
+    for name, sign in (("lost", -1.0), ("gained", 1.0)):
+        lists = table[name].combine_chunks()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        out.at, out.row = np.concatenate((out.at, at)), np.concatenate((out.row, np.repeat(np.arange(out.rows), size)))
+        out.value = np.concatenate((out.value, np.full(len(at), sign)))
+    return out
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5,

@@ -55,6 +55,42 @@ def test_swaps():
     assert len(T.counterfactuals("Gay. " * 100, T.Hashes(), [["orientation", "gay"]])) == T.MENTIONS
 
 
+def test_all_sentences_of_a_text_count():
+    h, groups = T.Hashes(), [["orientation", "gay"]]
+    assert len(T.counterfactuals("Gay. " * 100, h, groups, most=None)) == 100
+    late = "Nice day. " * 5 + "Gay word. " * 40 + "Gay night."
+    assert set(T.counterfactuals(late, h, groups, most=None)[-1][1]) <= set(T.features("orientation night", h))
+
+
+def test_fit_takes_all_sentences_and_counts_equal_ones(spark, monkeypatch):
+    """The 21st and later sentences of a text reach the solver, each with the number of its occurrences."""
+    texts = [" ".join(f"The deaf man number{k} came." for k in range(30)), "The deaf cat came. " * 50, "A moron.", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    seen = {}
+
+    def caught(rows, y, changes, bits, fairness, times=None):
+        seen.update(rows=changes.rows, times=times, at=changes.at)
+
+    monkeypatch.setattr(T, "fit_rows", caught)
+    groups = [["patient", "deaf"]]
+    T.fit(df, labels, groups=groups)
+    every = [c for t in texts for c in T.counterfactuals(t, T.Hashes(), groups, most=None)]
+    distinct = {(tuple(a), tuple(b)) for a, b in every}
+    assert len(every) == 80 and seen["times"].sum() == 80 and seen["rows"] == len(distinct)
+    assert set(seen["at"]) == {k for a, b in every for k in (*a, *b)}
+
+
+def test_counted_changes_equal_repeated_ones():
+    r = np.random.default_rng(5)
+    rows = [np.flatnonzero(r.random(12) < 0.4) for _ in range(90)]
+    y = np.array([float(0 in x) if r.random() < 0.9 else 1.0 for x in rows])
+    one, two = (np.array([0, 3]), np.array([4])), (np.array([1]), np.array([2]))
+    whole = T.fit_rows(rows, y, [one] * 7 + [two], 4)
+    counted = T.fit_rows(rows, y, [one, two], 4, times=np.array([7, 1]))
+    assert np.allclose(whole.weight, counted.weight, atol=1e-6) and whole.bias == pytest.approx(counted.bias, abs=1e-6)
+
+
 def test_optimum():
     """No step in any single weight lowers the loss."""
     r = np.random.default_rng(3)
