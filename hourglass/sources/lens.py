@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nested import concept
-from .tables import read
+from .tables import by_key, read
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 DATE_FMT = "yyyy-MM-dd"
@@ -316,8 +316,8 @@ def qualified_encounter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 def condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """personid, encounterid, conditioncode, classification (one row per line item)."""
-    li = read(spark, sf_dir, "lineitem")
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li, o = by_key(spark, sf_dir, "lineitem", "l_orderkey",
+                   read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     letter = F.expr("char(65 + pmod(l_partkey, 26))")
     num = F.lpad((F.lit(2) * F.col("l_quantity") - 1).cast("int").cast("string"), 2, "0")
     code10 = F.concat(letter, num, F.lit("."), F.col("l_linenumber").cast("string"))
