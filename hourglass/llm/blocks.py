@@ -73,3 +73,33 @@ def in_blocks(rows: DataFrame, size: str, member: str, block: int) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), n - 1),
                         lambda k: F.struct(F.least(own, k).alias("b1"), F.greatest(own, k).alias("b2")))
     return rows.select("*", own.alias("own"), F.explode(pairs).alias("p")).select("*", "p.b1", "p.b2").drop("p")
+
+
+def in_single_blocks(rows: DataFrame, group: str, size: str, member: str, block: int, bridges: int = 32) -> DataFrame:
+    """Rows with (b1, b2), equal: a large group is cut into single blocks, which do not meet but in some ``bridges`` of its
+    members that go to all of them.  No more than ``size * (1 + bridges / block)`` rows a group, about."""
+    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    draw = lambda salt: F.xxhash64(F.lit(salt), group, member)
+    bridge = F.pmod(draw(1), F.col(size).cast("bigint")) < F.lit(bridges)
+    own = F.pmod(draw(0), n.cast("bigint")).cast("int")
+    at = F.when((n > 1) & bridge, F.sequence(F.lit(0), n - 1)).otherwise(F.array(own))
+    return rows.select("*", F.explode(at).alias("b1")).withColumn("b2", F.col("b1"))
+
+
+def in_blocks_by_label(rows: DataFrame, size: str, member: str, label: str, core: str, n_core: str, block: int) -> DataFrame:
+    """Rows with (b1, b2) such that members with different labels meet, and all that have not the label ``core``.
+
+    ``core`` is a label that ``n_core`` of the group's ``size`` members have, or null.  Its members meet only the others: with
+    at most ``block`` others a group makes no more than about twice its rows.
+    """
+    most = F.coalesce(F.col(n_core), F.lit(0))
+    others = F.ceil((F.col(size) - most) / F.lit(block)).cast("int")
+    cores = F.ceil(most / F.lit(block)).cast("int")
+    inside = F.coalesce(F.col(label) == F.col(core), F.lit(False))
+    at = F.xxhash64(member)
+    own = F.when(inside, others + F.pmod(at, cores.cast("bigint")).cast("int")).otherwise(F.pmod(at, others.cast("bigint")).cast("int"))
+    blocks = F.sequence(F.lit(0), F.when(inside, others).otherwise(others + cores) - 1)
+    # a block that meets another one is compared in itself there
+    met = F.when((others + cores > 1) & ~inside, F.filter(blocks, lambda k: k != own)).otherwise(blocks)
+    pairs = F.transform(met, lambda k: F.struct(F.least(own, k).alias("b1"), F.greatest(own, k).alias("b2")))
+    return rows.select("*", F.explode(pairs).alias("p")).select("*", "p.b1", "p.b2").drop("p")

@@ -14,10 +14,12 @@ and that of the sketches to tell a linked pair apart add up to less than ``1 - r
 1. One map over the documents writes, for each, the fingerprint of its set, a bottom-``SKETCH`` sketch and its paths
    through the first runs.  Documents with equal sets are folded into one representative with a number of copies.
 2. Nodes are counted (partial sums first), and only sets in nodes of two or more go on.  Inside a node, sketches are
-   compared; a node returns a spanning forest of what it found, never its pairs.  This goes in three rounds: the first
-   run, all first runs, and the later runs, whose paths a second map draws for the documents that need them.  From the
+   compared; a node returns a spanning forest of what it found, never its pairs.  This goes in three rounds: ``LEAD`` runs,
+   all first runs, and the later runs, whose paths a second map draws for the documents that need them.  From the
    second round on a set carries the component that the rounds before gave it: nodes within one component are passed over,
    and a node's forest joins components only, so a large group of copies is linked once and not in every node of every run.
+   The first round only prepares that: it compares a large node in single blocks, with a few of its sets in all of them.  The
+   second round has its nodes again, and there and in the third the sets of a node's largest component meet the others only.
 3. The forests' components are verified exactly on whole texts, again in blocks: the number of linked documents for
    each representative, and a spanning forest of the true links, whose components are the classes.
 
@@ -40,11 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import forest, in_blocks, in_groups
+from .blocks import forest, in_blocks, in_blocks_by_label, in_groups, in_single_blocks
 from .common import Stages, WordHashes, content_key, mix, shingle_hashes, stage, with_likely_keys
 from .components import connected_components
 
 DEPTH, SKETCH, BLOCK = 3, 64, 256
+LEAD = 3  # trees of the first round
 ALL = float(1 << 64)
 
 
@@ -137,8 +140,8 @@ def path_lists(found: list[list[tuple]]) -> pa.Array:
 
 
 def sets(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, runs: int) -> DataFrame:
-    """(rid, key, doc_id, f1, f2, size, sketch, lead, paths) of every row; ``lead`` are the paths of the first run, ``paths``
-    those of the others up to ``runs``.  A sketch holds the low halves of its hashes."""
+    """(rid, key, doc_id, f1, f2, size, sketch, lead, paths) of every row; ``lead`` are the paths of the first ``LEAD`` runs,
+    ``paths`` those of the others up to ``runs``.  A sketch holds the low halves of its hashes."""
     docs = df.select(content_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -160,8 +163,8 @@ def sets(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, runs:
                     low = np.partition(mix(s), SKETCH - 1)[:SKETCH] if len(s) > SKETCH else mix(s)
                     sketch.append(np.unique(low.astype(np.uint32)).tobytes())
                     drawn = paths_by_run(s, runs, threshold) if len(s) else []
-                    lead.append([p for tree, p in drawn if tree == 1])
-                    found.append([p for tree, p in drawn if tree > 1])
+                    lead.append([p for tree, p in drawn if tree <= LEAD])
+                    found.append([p for tree, p in drawn if tree > LEAD])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rid, pa.int64()), b.column(0), b.column(1), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
                      pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), path_lists(lead), path_lists(found)],
@@ -185,8 +188,9 @@ def later_paths(texts: DataFrame, n: int, threshold: float, first: int, last: in
 
 
 def nodes(chains: DataFrame, limit: int, keep: Stages) -> tuple[DataFrame, DataFrame]:
-    """From (rid, comp, p1, p2, p3): (node, rid, comp, n) of the nodes to compare, those with sets of several components and
-    at most ``limit`` sets, at the last depth of any size; and the chains through nodes that are split at the first depth."""
+    """From (rid, comp, p1, p2, p3): (node, rid, comp, n, core, n_core) of the nodes to compare, those with sets of several
+    components and at most ``limit`` sets, at the last depth of any size; and the chains through nodes that are split at the
+    first depth.  ``core`` is the component of more than half of the sets of a node above ``limit``, if there is one."""
     out, split, alive = [], [], chains
     for depth in range(1, DEPTH + 1):
         at = f"p{depth}"
@@ -194,7 +198,14 @@ def nodes(chains: DataFrame, limit: int, keep: Stages) -> tuple[DataFrame, DataF
         count = keep(here.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                      .where("n > 1 and lo <> hi").select("node", "n"), f"nodes{depth}")
         small = count if depth == DEPTH else count.where(F.col("n") <= limit)
-        out.append(here.join(small, "node"))
+        found = here.join(small, "node")
+        if depth == DEPTH:
+            cores = (here.join(count.where(F.col("n") > limit), "node").groupBy("node", "n", "comp").agg(F.count(F.lit(1)).alias("n_core"))
+                     .where("2 * n_core > n").select("node", F.col("comp").alias("core"), "n_core"))
+            found = found.join(cores, "node", "left")
+        else:
+            found = found.select("*", *[F.lit(None).cast("bigint").alias(c) for c in ("core", "n_core")])
+        out.append(found)
         if depth < DEPTH:
             # written, as it is read three times from here on
             alive = keep(alive.join(count.where(F.col("n") > limit).select(F.col("node").alias(at)), at, "left_semi"),
@@ -206,9 +217,13 @@ def nodes(chains: DataFrame, limit: int, keep: Stages) -> tuple[DataFrame, DataF
     return both, split[0]
 
 
-def candidate_edges(found: DataFrame, sketches: DataFrame, threshold: float, limit: int, recall: float = 0.9999) -> DataFrame:
-    """(a, b): spanning forests of the components whose sets agree in their sketches, node by node."""
-    rows = (in_blocks(found.join(sketches.select("rid", "size", "sketch"), "rid"), "n", "rid", limit)
+def candidate_edges(found: DataFrame, sketches: DataFrame, threshold: float, limit: int, recall: float = 0.9999,
+                    whole: bool = True) -> DataFrame:
+    """(a, b): spanning forests of the components whose sets agree in their sketches, node by node; those between the blocks
+    of a large node may be missing unless ``whole``."""
+    blocks = (in_blocks_by_label(found, "n", "rid", "comp", "core", "n_core", limit) if whole
+              else in_single_blocks(found, "node", "n", "rid", limit))
+    rows = (blocks.join(sketches.select("rid", "size", "sketch"), "rid")
             .select("node", "b1", "b2", "rid", "comp", "size", "sketch"))
     least = least_common(threshold, recall)
 
@@ -243,7 +258,8 @@ def candidates(df: DataFrame, reps: DataFrame, doc_id: str, text: str, n: int, t
     def joined(found: DataFrame, name: str) -> DataFrame:
         """``comps`` after the components that the nodes' forests link are put together."""
         own = Stages(df.sparkSession)
-        now = (connected_components(candidate_edges(found, reps, threshold, limit, recall), keep=own)
+        edges = candidate_edges(found, reps, threshold, limit, recall, whole=comps is not None)
+        now = (connected_components(edges, keep=own)
                .select(F.col("node").alias("comp"), F.col("component").alias("top")))
         if comps is None:
             out = keep(now.select(F.col("comp").alias("rid"), F.col("top").alias("comp")), name)

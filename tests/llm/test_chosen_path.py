@@ -7,8 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hourglass.llm import chosen_path as C
+from hourglass.llm.blocks import in_blocks_by_label, in_single_blocks
 from hourglass.llm.common import Stages, WordHashes, shingle_hashes, with_likely_keys
 from hourglass.llm.components import connected_components
 
@@ -178,3 +180,29 @@ def test_copies_known_from_the_first_run_make_no_more_edges(spark):
     none, _ = C.nodes(chains("0L"), 512, keep)
     assert C.candidate_edges(many, s, 0.8, 512).count() > 1000 and none.count() == 0
     assert [r.n_links for r in C.near_duplicates(df).collect()] == [299] * 300
+
+
+def test_members_of_the_largest_component_meet_the_others_only(spark):
+    labels = [*[(1, k, 100, 1000, 100, 900) for k in range(900)], *[(1, 1000 + k, 1000 + k, 1000, 100, 900) for k in range(100)],
+              *[(2, 5000 + k, k % 7, 700, None, None) for k in range(700)], (3, 1, 1, 2, None, None), (3, 2, 2, 2, None, None)]
+    df = spark.createDataFrame(labels, "node long, rid long, comp long, n long, core long, n_core long")
+    groups: dict = {}
+    for r in in_blocks_by_label(df, "n", "rid", "comp", "core", "n_core", 128).collect():
+        groups.setdefault((r.node, r.b1, r.b2), set()).add((r.rid, r.comp))
+    assert sum(len(g) for k, g in groups.items() if k[0] == 1) <= 900 + 100 * 8
+    assert sum(len(g) for k, g in groups.items() if k[0] == 2) <= 700 * 6 and max(map(len, groups.values())) < 3 * 128
+    met = {(k[0], a, b) for k, g in groups.items() for a, x in g for b, y in g if x != y}
+    by_node: dict = {}
+    for node, rid, comp, *_ in labels:
+        by_node.setdefault(node, []).append((rid, comp))
+    assert met == {(k, a, b) for k, g in by_node.items() for a, x in g for b, y in g if x != y}
+
+
+def test_rows_of_large_nodes_follow_their_sets(spark):
+    df = spark.range(60_000).selectExpr("id % 2 as node", "id as rid", "30000L as n")
+    rows = in_single_blocks(df, "node", "n", "rid", 256)
+    sizes = [r["count"] for r in rows.groupBy("node", "b1", "b2").count().collect()]
+    assert rows.count() < 1.3 * 60_000 and len(sizes) == 2 * 118 and max(sizes) < 2 * 256
+    shared = rows.groupBy("node", "rid").agg(F.count("*").alias("k")).where("k > 1")
+    assert {r["node"]: r["count"] >= 10 for r in shared.groupBy("node").count().collect()} == {0: True, 1: True}
+    assert in_single_blocks(df.where("rid < 40").withColumn("n", F.lit(20)), "node", "n", "rid", 256).count() == 40
