@@ -145,3 +145,30 @@ def test_least_count(spark, parts):
     for most in (0, 1, 4, 11, 60, 100):
         got = ppm.least_count(df, most, parts)
         assert sum(n >= got for n in counts) <= most and (got == 1 or sum(n >= got - 1 for n in counts) > most)
+
+
+def test_every_text_has_one_sum_and_its_parts_travel_together(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(20)) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = count_strings_and_words(df)
+    edges = ppm.edges_of(counts)
+    raw = [lowered(t) for t in texts]
+    want = Counter(int(e) for t in raw for c in strings(t) for j in range(ORDER + 1) for e in ppm.of_order(c, j))
+    assert {r.edge: r.n for r in edges.collect()} == want
+    model = ppm.with_words(counts, edges.where(F.col("edge") < F.lit((ppm.NEAR + 1) << ppm.TAG)), 100)
+    rows = []
+    for part in (0, 5):  # row ids of two partitions of the input
+        code = np.concatenate([c for t in raw[:50] for c in strings(t)])
+        owner = np.concatenate([np.full(len(t) + 1, k, np.uint32) for k, t in enumerate(raw[:50])])
+        for bucket, c, o in zip(*ppm.packed(code, owner, 40), strict=True):
+            rows.append((part << ppm.PART, bucket, bytearray(c), bytearray(o)))
+    asked = spark.createDataFrame(rows, "rid long, bucket int, codes binary, owners binary")
+    got = ppm.resolved(edges, asked, spark.sparkContext.broadcast(model), 40).collect()
+    whole = fit(counts)
+    assert sorted(r.rid for r in got) == [p << ppm.PART | k for p in (0, 5) for k in range(50)]
+    assert all(abs(r.score - whole.score(raw[r.rid & 63])) < 1e-3 for r in got)
