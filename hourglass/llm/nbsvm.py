@@ -6,8 +6,8 @@ log-count ratio ``r = log((p / sum p) / (q / sum q))`` of the two classes (add-o
 unit length, and a linear L2-regularised hinge-loss model is fitted by dual coordinate descent.  Margins become scores
 by Platt's sigmoid, fitted on a held-back part of the training rows.
 
-Fitting takes at most ``max_rows`` labelled rows, chosen by the smallest hashes of their ids, and runs on the driver on
-their feature indices; scoring is a map over all rows with two fixed-size weight tables (2**bits floats) as broadcast.
+Fitting takes at most ``max_rows`` labelled rows, chosen by the smallest hashes of their ids, and runs in one task on
+their feature indices, so that the driver holds the model alone; scoring is a map over all rows with two fixed-size weight tables (2**bits floats) as broadcast.
 
 Defined results: a null or empty text has no features and gets the score of the bias alone; a document with several
 labels counts with their majority (a tie is 1), one with several texts with the least of them; null labels are left out;
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,14 +212,31 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str =
     marked = ids.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
     def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, part, done = Words(), TaskContext.get().partitionId(), 0
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([features(t.as_py(), words, bits).astype(np.int32) for t in b.column(0)], pa.list_(pa.int32())),
-                 b.column(1)], ["x", "y"])
-
-    got = marked.mapInArrow(indices, "x array<int>, y int").toArrow()
-    return fit_rows([np.asarray(x.values, np.int64) for x in got["x"]], got["y"].to_numpy(), bits)
+                [pa.array(np.full(b.num_rows, part), pa.int32()), pa.array(np.arange(done, done + b.num_rows), pa.int64()),
+                 pa.array([features(t.as_py(), words, bits).astype(np.int32) for t in b.column(0)], pa.list_(pa.int32())),
+                 b.column(1)], ["part", "nth", "x", "y"])
+            done += b.num_rows
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[np.ndarray] = []
+        y: list[np.ndarray] = []
+        for b in batches:
+            rows += [np.asarray(x.values, np.int64) for x in b.column(2)]
+            y.append(b.column(3).to_numpy())
+        m = fit_rows(rows, np.concatenate([*y, np.empty(0, np.int32)]), bits)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([m.ratio.tobytes()]), pa.array([m.weight.tobytes()]), *[pa.array([v], pa.float64()) for v in (m.bias, m.slope, m.offset)]],
+            ["ratio", "weight", "bias", "slope", "offset"])
+
+    # max_rows at most, in one task in a fixed order; a task without rows answers for no labels at all
+    ordered = marked.mapInArrow(indices, "part int, nth bigint, x array<int>, y int").repartition(1).sortWithinPartitions("part", "nth")
+    got = ordered.mapInArrow(fitted, "ratio binary, weight binary, bias double, slope double, offset double").first()
+    if got is None:
+        return fit_rows([], np.empty(0, np.int32), bits)
+    return Model(np.frombuffer(got["ratio"], np.float32), np.frombuffer(got["weight"], np.float32), *map(float, got[2:]))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3,

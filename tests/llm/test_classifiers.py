@@ -109,3 +109,16 @@ def test_empty_tables(spark, tmp_path, query):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert E.queries()[query](spark, str(tmp_path)).collect() == []
+
+
+def test_the_driver_holds_no_training_rows(spark, monkeypatch):
+    from hourglass.llm import nbsvm
+
+    rows = [(k, f"{'good' if k % 2 else 'bad'} word{k % 7} text {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: seen.append(df))  # the training rows would come this way
+    model = nbsvm.fit(docs, labels)
+    assert model.score(nbsvm.features("good word1 text", nbsvm.Words())) > 0.5 > model.score(nbsvm.features("bad word1 text", nbsvm.Words()))
+    assert not seen and len(model.weight) == 1 << nbsvm.BITS
