@@ -18,8 +18,9 @@ and that of the sketches to tell a linked pair apart add up to less than ``1 - r
    all first runs, and the later runs, whose paths a second map draws for the documents that need them.  From the
    second round on a set carries the component that the rounds before gave it: nodes within one component are passed over,
    and a node's forest joins components only, so a large group of copies is linked once and not in every node of every run.
-   The first round only prepares that: it compares a large node in single blocks, with a few of its sets in all of them.  The
-   second round has its nodes again, and there and in the third the sets of a node's largest component meet the others only.
+   The first round only prepares that: it splits no node and compares a large one in single blocks, with a few of its sets in
+   all of them.  The second round has its nodes again, and there and in the third the sets of a node's largest component meet
+   the others only, at once where these are few.
 3. The forests' components are verified exactly on whole texts, again in blocks: the number of linked documents for
    each representative, and a spanning forest of the true links, whose components are the classes.
 
@@ -187,30 +188,38 @@ def later_paths(texts: DataFrame, n: int, threshold: float, first: int, last: in
     return texts.select("rid", "text").mapInArrow(drawn, f"rid bigint, paths {CHAINS}")
 
 
+def mixed(chains: DataFrame, depth: int, keep: Stages) -> tuple[DataFrame, DataFrame]:
+    """(node, rid, comp) at a depth, and (node, n) of the nodes there with sets of several components."""
+    here = chains.where(F.col(f"p{depth}").isNotNull()).select(F.col(f"p{depth}").alias("node"), "rid", "comp").distinct()
+    count = keep(here.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                 .where("n > 1 and lo <> hi").select("node", "n"), f"nodes{depth}")
+    return here, count
+
+
 def nodes(chains: DataFrame, limit: int, keep: Stages) -> tuple[DataFrame, DataFrame]:
     """From (rid, comp, p1, p2, p3): (node, rid, comp, n, core, n_core) of the nodes to compare, those with sets of several
-    components and at most ``limit`` sets, at the last depth of any size; and the chains through nodes that are split at the
-    first depth.  ``core`` is the component of more than half of the sets of a node above ``limit``, if there is one."""
+    components that have at most ``limit`` sets, or at most ``limit`` besides those of one component, and at the last depth
+    any others; and the chains through nodes that are split at the first depth.  ``core`` is the component of more than half
+    of the sets of a node above ``limit``, if there is one."""
     out, split, alive = [], [], chains
     for depth in range(1, DEPTH + 1):
-        at = f"p{depth}"
-        here = alive.where(F.col(at).isNotNull()).select(F.col(at).alias("node"), "rid", "comp").distinct()
-        count = keep(here.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                     .where("n > 1 and lo <> hi").select("node", "n"), f"nodes{depth}")
-        small = count if depth == DEPTH else count.where(F.col("n") <= limit)
-        found = here.join(small, "node")
+        here, count = mixed(alive, depth, keep)
+        large = count.where(F.col("n") > limit)
+        cores = (here.join(large, "node").groupBy("node", "n", "comp").agg(F.count(F.lit(1)).alias("n_core"))
+                 .where("2 * n_core > n").select("node", F.col("comp").alias("core"), "n_core"))
         if depth == DEPTH:
-            cores = (here.join(count.where(F.col("n") > limit), "node").groupBy("node", "n", "comp").agg(F.count(F.lit(1)).alias("n_core"))
-                     .where("2 * n_core > n").select("node", F.col("comp").alias("core"), "n_core"))
-            found = found.join(cores, "node", "left")
+            found = here.join(count, "node").join(cores, "node", "left")
         else:
-            found = found.select("*", *[F.lit(None).cast("bigint").alias(c) for c in ("core", "n_core")])
-        out.append(found)
-        if depth < DEPTH:
+            # the core meets the few others only: at most about twice the node's rows
+            cores = keep(large.join(cores, "node", "left"), f"large{depth}")
+            few = F.coalesce(F.col("n") - F.col("n_core") <= limit, F.lit(False))
+            none = [F.lit(None).cast("bigint").alias(c) for c in ("core", "n_core")]
+            found = here.join(count.where(F.col("n") <= limit).select("*", *none).unionByName(cores.where(few)), "node")
             # written, as it is read three times from here on
-            alive = keep(alive.join(count.where(F.col("n") > limit).select(F.col("node").alias(at)), at, "left_semi"),
-                         f"split{depth}")
+            going = alive if depth == 1 else alive.where(F.col(f"p{depth + 1}").isNotNull())
+            alive = keep(going.join(cores.where(~few).select(F.col("node").alias(f"p{depth}")), f"p{depth}", "left_semi"), f"split{depth}")
             split.append(alive)
+        out.append(found)
     both = out[0]
     for o in out[1:]:
         both = both.unionByName(o)
@@ -271,8 +280,8 @@ def candidates(df: DataFrame, reps: DataFrame, doc_id: str, text: str, n: int, t
         return out
 
     comps = None
-    found, _ = nodes(chains(reps.withColumn("comp", F.col("rid")), "lead"), limit, keep)
-    comps = joined(found, "comps1")
+    here, count = mixed(chains(reps.withColumn("comp", F.col("rid")), "lead"), 1, keep)
+    comps = joined(here.join(count, "node"), "comps1")
     found, split = nodes(chains(labelled(reps.select("rid", F.concat("lead", "paths").alias("paths"))), "paths"), limit, keep)
     again = keep(split.select("rid").distinct().join(reps.select("rid", "key"), "rid"), "again")
     comps = joined(found, "comps2")

@@ -198,6 +198,39 @@ def test_members_of_the_largest_component_meet_the_others_only(spark):
     assert met == {(k, a, b) for k, g in by_node.items() for a, x in g for b, y in g if x != y}
 
 
+def test_large_nodes_with_few_outsiders_are_compared_at_once(spark):
+    # node 1: 390 sets of one component and 10 others; node 2: 400 sets of as many components; node 3: small
+    rows = [*[(k, 0 if k >= 10 else 1000 + k, 1, 10 + k % 3, 100 + k % 9) for k in range(400)],
+            *[(k, 2000 + k, 2, 20 + k % 2, None) for k in range(500, 900)], (1, 1, 3, None, None), (2, 2, 3, None, None)]
+    df = spark.createDataFrame(rows, "rid long, comp long, p1 long, p2 long, p3 long")
+    keep = Stages(spark)
+    found, split = C.nodes(df, 250, keep)
+    sizes = {(r.node, r.n, r.core, r.n_core): r["count"] for r in found.groupBy("node", "n", "core", "n_core").count().collect()}
+    assert sizes == {(1, 400, 0, 390): 400, (3, 2, None, None): 2, (20, 200, None, None): 200, (21, 200, None, None): 200}
+    assert {r.p1 for r in split.collect()} == {2} and split.count() == 400
+    keep.drop()
+
+
+def test_the_first_round_splits_no_node(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(300)]
+    rows = [(k, " ".join(f"x{k}" if j == k else w for j, w in enumerate(base))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    written = []
+    call = Stages.__call__
+
+    def counted(self, frame, name):
+        out = call(self, frame, name)
+        written.append((name, out.count() if name.startswith(("split", "comps")) else 0))
+        return out
+
+    monkeypatch.setattr(Stages, "__call__", counted)
+    assert [r.n_links for r in C.near_duplicates(df, limit=50).collect()] == [299] * 300
+    names = [n for n, _ in written]
+    assert not any(n.startswith("split") for n in names[:names.index("comps1")])
+    assert written[names.index("comps1")][1] > 270 and sum(k for n, k in written if n.startswith("split")) < 300
+
+
 def test_rows_of_large_nodes_follow_their_sets(spark):
     df = spark.range(60_000).selectExpr("id % 2 as node", "id as rid", "30000L as n")
     rows = in_single_blocks(df, "node", "n", "rid", 256)
