@@ -144,6 +144,34 @@ def test_components(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 3, 40, 1 << 19])
+def test_components_in_rounds_and_in_one_forest(spark, small):
+    rng = random.Random(11)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k + 1, k) for k in range(300, 340)] + \
+            [(k, 999 - k) for k in range(500, 560)] + [(600, k) for k in range(700, 730)] + [(None, 3), (9, 9), (7, 8), (8, 7)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    links = {frozenset(e) for e in edges if e[0] is not None and e[0] != e[1]}
+    want = {k: k for e in links for k in e}
+    for _ in want:
+        for a, b in map(tuple, links):
+            want[a] = want[b] = min(want[a], want[b])
+    rows = connected_components(df, small=small).collect()
+    assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
+    assert connected_components(df.limit(0), small=small).count() == 0
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    written = []
+    call = Stages.__call__
+    monkeypatch.setattr(Stages, "__call__", lambda self, frame, name: written.append(name) or call(self, frame, name))
+    keep = Stages(spark)
+    df = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long").repartition(7)
+    rows = connected_components(df, keep=keep).collect()
+    assert len(rows) == 201 and {r.component for r in rows} == {0}
+    assert written == ["edges"] * 2 and len(keep.paths) == 1  # one row an edge in each task's forest, then the one forest
+    keep.drop()
+
+
 def test_bitmap_lets_every_key_pass_and_few_others(spark):
     rows = spark.range(20_000).selectExpr("cast(cast(id as string) as binary) as key", "id", "1 as slot")
     keys = rows.where("id % 40 = 3")
