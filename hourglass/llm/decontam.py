@@ -11,8 +11,9 @@ pick 6 of up to 8 neighbouring words and miss none of them (tested likewise), th
 of their own length.
 
 A document's positions are first tested against a bitmap of the benchmark's hashes, by the pair of words that begins every
-mask (but that of a single word) and then by the masks.  Its size is fixed (2**22 bits), so
-the literal in the plan is too, however large the benchmark; a full bitmap would only let more rows into the join.
+mask (but that of a single word) and then by the masks, all at one place of the plan.  Its size has a bound (2**22 bits), so
+the literal in the plan has one too, however large the benchmark; a full bitmap would only let more rows into the join.  A
+small benchmark's bitmap is folded to some 32 bits a hash, as the driver keeps the plan, its texts and its tasks' copies.
 Only positions that pass leave the map side, as (key, position, hash); documents meet their candidates by content key.
 
 Defined results: null and empty texts, in documents or in the benchmark, match nothing; equal items count once, under
@@ -67,17 +68,19 @@ def _pairs(words: Column) -> Column:
     return F.transform(_starts(words, PAIR), lambda i: _seed(words, i, -1, PAIR))
 
 
-def _bitmap(seeds: DataFrame) -> Column:
-    """2**BITS bits as a constant array of longs (at most 2**(BITS - 6) rows come to the driver)."""
+def _bitmap(seeds: DataFrame) -> tuple[Column, int]:
+    """2**bits bits as a constant array of longs (at most 2**(BITS - 6) rows come to the driver), and their number ``bits``."""
     slot = F.col("seed").bitwiseAND(F.lit((1 << BITS) - 1))
     rows = (seeds.select(slot.alias("slot")).distinct()
             .groupBy(F.shiftright("slot", 6).cast("int").alias("word"))
             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("slot") % 64).cast("int"))).alias("bits"))
             .collect())
-    words = [0] * (1 << (BITS - 6))
+    n = sum((r["bits"] & ((1 << 64) - 1)).bit_count() for r in rows)
+    bits = min(BITS, max(12, (32 * n).bit_length()))
+    words = [0] * (1 << (bits - 6))
     for r in rows:
-        words[r["word"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+        words[r["word"] % len(words)] |= r["bits"]  # signed, as longs are
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), bits
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -102,11 +105,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     seeds = stage(seeds.select("item_id", F.xxhash64("item").alias("item_key"), F.col("s.pos").alias("item_pos"),
                                F.col("s.seed").alias("seed")), "seeds")
     pairs = items.select(F.explode(_pairs(F.col("item"))).alias("seed"))
-    bits = _bitmap(seeds.select("seed").unionByName(pairs))
+    bitmap, bits = _bitmap(seeds.select("seed").unionByName(pairs))
 
     def known(h: Column) -> Column:
-        slot = h.bitwiseAND(F.lit((1 << BITS) - 1))
-        word = F.get(bits, F.shiftright(slot, 6).cast("int"))
+        slot = h.bitwiseAND(F.lit((1 << bits) - 1))
+        word = F.get(bitmap, F.shiftright(slot, 6).cast("int"))
         return F.call_function("shiftright", word, (slot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"),
@@ -117,12 +120,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     # longer masks begin with two neighbours: positions whose pair the benchmark doesn't have go before the masks are tried
     tokens = tokens.withColumn("at", F.filter(_starts(w, PAIR), lambda i: known(_seed(w, i, -1, PAIR))))
 
-    def passing(k: int, m: tuple[int, ...]) -> Column:
-        at = F.filter("at" if len(m) > 1 else _starts(w, m), lambda i: (i + F.lit(m[-1]) < F.size(w)) & known(_seed(w, i, k, m)))
-        return F.transform(at, lambda i: F.struct(i.alias("pos"), _seed(w, i, k, m).alias("seed")))
+    def passing(at: Column, masks: list[tuple[int, tuple[int, ...]]]) -> Column:
+        here = F.flatten(F.transform(at, lambda i: F.array(*[
+            F.struct(i.alias("pos"), F.when(i + F.lit(m[-1]) < F.size(w), _seed(w, i, k, m)).alias("seed")) for k, m in masks])))
+        return F.filter(here, lambda x: F.coalesce(known(x["seed"]), F.lit(False)))
 
+    long, single = ([(k, m) for k, (_, _, m) in used.items() if (len(m) > 1) == more] for more in (True, False))
+    found = [passing(at, masks) for at, masks in ((F.col("at"), long), (_starts(w, (0,)), single)) if masks]
     # no filter on ``at``: the optimiser would push it down and compute the words anew for every position
-    hits = (tokens.select("key", F.explode(F.concat(*[passing(k, m) for k, (_, _, m) in used.items()])).alias("h"))
+    hits = (tokens.select("key", F.explode(F.concat(*found)).alias("h"))
             .select("key", F.col("h.pos").alias("pos"), F.col("h.seed").alias("seed"))
             .join(seeds, "seed")
             .select("key", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())

@@ -6,7 +6,8 @@ import re
 
 import duckdb
 
-from hourglass.llm.decontam import MASKS, SHORT, SHORT_MASKS, SUBSTITUTIONS, WINDOW, drop_leaks, find_leaks
+from hourglass.llm import decontam
+from hourglass.llm.decontam import BITS, MASKS, SHORT, SHORT_MASKS, SUBSTITUTIONS, WINDOW, drop_leaks, find_leaks
 from hourglass.llm.queries import OP5_SQL
 
 
@@ -103,3 +104,34 @@ def test_empty_tables(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert find_leaks(d.limit(0), b).count() == 0
     assert find_leaks(d, b.limit(0)).count() == 0 and drop_leaks(d, b.limit(0)).count() == len(docs)
+
+
+def test_bitmap_of_a_small_benchmark_is_a_short_literal_that_misses_no_hash(spark):
+    rng = random.Random(4)
+    for n in (0, 1, 3000):
+        seeds = [rng.randrange(-1 << 63, 1 << 63) for _ in range(n)]
+        bitmap, bits = decontam._bitmap(spark.createDataFrame([(x,) for x in seeds], "seed long"))
+        words = spark.range(1).select(bitmap.alias("b")).first().b
+        assert len(words) == 1 << (bits - 6) and bits <= BITS and len(words) <= max(64, n)
+        slots = {x & ((1 << bits) - 1) for x in seeds}
+        assert {64 * k + j for k, v in enumerate(words) for j in range(64) if v >> j & 1} == slots
+    monkey, decontam.BITS = decontam.BITS, 12  # a full bitmap of the largest size
+    try:
+        bitmap, bits = decontam._bitmap(spark.range(40_000).selectExpr("id as seed"))
+        assert bits == 12 and set(spark.range(1).select(bitmap.alias("b")).first().b) == {-1}
+    finally:
+        decontam.BITS = monkey
+
+
+def test_masks_share_one_copy_of_the_bitmap(spark, monkeypatch):
+    """Items of all lengths use every mask: the literal stands in the plan for pairs, for masks and for single words."""
+    seen = []
+    real = decontam.stage
+    monkeypatch.setattr(decontam, "stage", lambda df, name: seen.append((name, df)) or real(df, name))
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 20)]
+    docs = [(100 + n, f"a b {t} c d") for n, t in items] + [(1, "a b c d"), (2, None)]
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                    spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(100 + n, n) for n, _ in items}
+    hits = next(df for name, df in seen if name == "hits")
+    assert len(hits._jdf.queryExecution().analyzed().toString()) < 60_000
